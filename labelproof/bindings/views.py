@@ -103,9 +103,10 @@ FROM (SELECT l.*, cast(floor(l_extendedprice * 100 + 0.5) AS bigint) AS cents FR
 
 VIEWS["v_label"] = """
 SELECT o, lpad(cast(o AS varchar(20)), 13, '0') AS ean,
-  LISTAGG[food|, |k] || CASE WHEN o % 2 = 1 THEN '. Puede contener trazas de ' || min(base)
-    ELSE '' END AS txt,
-  LISTAGG[tag|,|k] AS tags,
+  LISTAGG[food|, |k] || CASE o % 6 WHEN 1 THEN '. Puede contener trazas de leche'
+    WHEN 3 THEN '. PUEDE CONTENER miel' WHEN 5 THEN '; contiene trazas de gelatina.' ELSE '' END AS txt,
+  LISTAGG[tag|,|k] || CASE o % 6 WHEN 1 THEN ',en:milk' WHEN 3 THEN ',en:honey'
+    WHEN 5 THEN ',en:gelatin' ELSE '' END AS tags,
   cast(cast(max(l_shipdate) AS date) AS varchar(10)) AS fecha
 FROM v_line GROUP BY o
 """

@@ -43,8 +43,8 @@ def round_ratio(num: Column, den: Column, digits: int) -> Column:
     rest = (scaled - low * den).cast("decimal(38,0)") * 2
     value = F.try_divide(num.cast("double"), den.cast("double"))
     bits = F.when(value < 1, F.lit(2.0**60)).otherwise(F.lit(2.0**55))
-    exact = (value * bits).cast("decimal(20,0)") * den.cast("decimal(10,0)")
-    side = exact - (num.cast("decimal(16,0)") * bits.cast("decimal(20,0)"))
+    exact = (value * bits).cast("bigint").cast("decimal(20,0)") * den.cast("decimal(10,0)")
+    side = exact - num.cast("decimal(16,0)") * bits.cast("bigint").cast("decimal(20,0)")
     odd = (low % 2) == 1
     up = (
         F.when(rest > den, True)

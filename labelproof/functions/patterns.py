@@ -45,12 +45,18 @@ def rank_case(var: str, patterns: Sequence[str]) -> str:
     return f"CASE WHEN {any_hit} THEN CASE {tests} END END"
 
 
-def rank_array(texts: str, patterns: Sequence[str], nested: bool = False) -> Column:
-    """Ranks of an array column of texts (or of an array of such arrays)."""
-    inner = f"t -> {rank_case('t', patterns)}"
+def add_field(items: str, fields: list[str], name: str, value: str, nested: bool = False) -> Column:
+    """Array of structs with one more field, given as SQL text over ``m``.
+
+    Every stage of the row-local work is such a step over its own element. A
+    lambda that read another computed column could get that column's whole
+    expression inlined and evaluated once per element.
+    """
+    kept = ", ".join(f"'{f}', m.{f}" for f in fields)
+    step = f"m -> named_struct({kept}, '{name}', {value})"
     if nested:
-        return F.expr(f"transform({texts}, ts -> transform(ts, {inner}))")
-    return F.expr(f"transform({texts}, {inner})")
+        return F.expr(f"transform({items}, ms -> transform(ms, {step}))")
+    return F.expr(f"transform({items}, {step})")
 
 
 def first_rank(name: str, patterns: Sequence[str]) -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.functions.display import round_ratio, whole_percent
-from labelproof.functions.patterns import UNICODE, any_of, matches, pick, rank_array
+from labelproof.functions.patterns import (
+    UNICODE, add_field, any_of, matches, pick, rank_case, sql_literal,
+)
 from labelproof.rules import lexicon, lines, rows, words
 from labelproof.rules.labels import (
     APTO, MIN_COVERAGE, NO_APTO, REVISAR, SRC_INGREDIENTS, SRC_NONE, VEGETARIANO,
@@ -73,16 +75,6 @@ def opens_flavour(token: Column) -> Column:
     return matches(token, f"^(?:{lexicon.FLAVOUR_WORDS})")
 
 
-def animal_ranks(texts: str, nested: bool = False) -> Column:
-    """Rank of the first animal rule found in each text of an array column."""
-    return rank_array(texts, ANIMAL_PATTERNS, nested)
-
-
-def ambiguous_ranks(texts: str, nested: bool = False) -> Column:
-    """Rank of the first ambiguous rule found in each text of an array column."""
-    return rank_array(texts, AMBIGUOUS_PATTERNS, nested)
-
-
 def is_plant(token: Column) -> Column:
     """True where a plant, mineral or synthetic rule is found."""
     return matches(token, any_of(PLANT_PATTERNS))
@@ -116,44 +108,36 @@ def mark_tokens(df: DataFrame, tokens: str, out: str) -> DataFrame:
         ),
     )
     df = df.withColumn("_marked", marked)
+    none = F.struct(
+        F.lit("").alias("token"), F.lit(False).alias("skip"), F.lit(False).alias("opens")
+    )
+    before = F.slice(F.concat(F.array(none), "_marked"), F.lit(1), F.size("_marked"))
 
-    def with_flavour(m: Column, i: Column) -> Column:
-        before = F.get(F.col("_marked"), i - 1)
+    def with_flavour(m: Column, b: Column) -> Column:
         return F.struct(
             m["token"].alias("token"),
             m["skip"].alias("skip"),
-            F.coalesce((i > 0) & before["skip"] & before["opens"], F.lit(False)).alias(
-                "under_flavour"
-            ),
+            (b["skip"] & b["opens"]).alias("under_flavour"),
         )
 
-    return df.withColumn(out, F.transform("_marked", with_flavour)).drop("_marked")
+    return df.withColumn(out, F.zip_with("_marked", before, with_flavour)).drop("_marked")
 
 
 def rank_tokens(df: DataFrame, marked: str, out: str) -> DataFrame:
     """Marked tokens with their lexicon hits; later lexicons only see the misses."""
-    df = df.withColumn(
-        "_open", F.transform(marked, lambda m: F.when(~m["skip"], m["token"]))
-    )
-    df = df.withColumn("_animal", animal_ranks("_open"))
-    df = df.withColumn(
-        "_open",
-        F.transform("_open", lambda t, i: F.when(F.get("_animal", i).isNull(), t)),
-    )
-    df = df.withColumn("_ambiguous", ambiguous_ranks("_open"))
-
-    def hits(m: Column, i: Column) -> Column:
-        missed = F.when(F.get("_ambiguous", i).isNull(), F.get("_open", i))
-        return F.struct(
-            m["token"].alias("token"),
-            m["skip"].alias("skip"),
-            m["under_flavour"].alias("under_flavour"),
-            F.get("_animal", i).alias("animal"),
-            F.get("_ambiguous", i).alias("ambiguous"),
-            F.coalesce(is_plant(missed), F.lit(False)).alias("plant"),
-        )
-
-    return df.withColumn(out, F.transform(marked, hits)).drop("_open", "_animal", "_ambiguous")
+    fields = ["token", "skip", "under_flavour"]
+    steps = {
+        "animal": f"CASE WHEN NOT m.skip THEN {rank_case('m.token', ANIMAL_PATTERNS)} END",
+        "ambiguous": "CASE WHEN NOT m.skip AND m.animal IS NULL THEN "
+        f"{rank_case('m.token', AMBIGUOUS_PATTERNS)} END",
+        "plant": "NOT m.skip AND m.animal IS NULL AND m.ambiguous IS NULL AND "
+        f"rlike(m.token, {sql_literal(UNICODE + any_of(PLANT_PATTERNS))})",
+    }
+    source = marked
+    for name, value in steps.items():
+        df = df.withColumn(out, add_field(source, fields, name, value))
+        fields, source = [*fields, name], out
+    return df
 
 
 def judge_tokens(df: DataFrame, ranked: str, out: str) -> DataFrame:

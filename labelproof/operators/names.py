@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
-from labelproof.functions.patterns import first_rank, literals, lookup, matches, pick
+from labelproof.functions.patterns import any_of, first_rank, literals, lookup, pick
 from labelproof.rules import names as N
 from labelproof.rules import rows, words
 from labelproof.rules.labels import APTO, NO_APTO, REVISAR, SRC_NAME, SRC_NONE
@@ -27,16 +27,12 @@ def _has(padded: Column, word: Column) -> Column:
     return F.contains(padded, F.concat(F.lit(" "), word, F.lit(" ")))
 
 
-def _first_with(values: list[str], padded: Column) -> Column:
-    return F.get(F.filter(literals(values), lambda w: _has(padded, w)), F.lit(0))
-
-
 def section_decision(category: Column) -> Column:
     """State and reason of a section name; null when it says nothing."""
     key = T.norm_name(category)
 
     def inside(fragments: list[str]) -> Column:
-        return F.exists(literals(fragments), lambda f: F.contains(key, f))
+        return key.rlike(any_of(fragments))
 
     animal = F.struct(
         F.lit(NO_APTO).alias("estado"),
@@ -58,7 +54,7 @@ def keyword_hits(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     df = df.withColumn("_padded", T.padded_words(F.col(text)))
     present = F.filter(literals(KEYWORDS), lambda w: _has(F.col("_padded"), w))
-    any_word = matches(F.col(text), r"\b(?:" + "|".join(KEYWORDS) + r")\b")
+    any_word = F.col("_padded").rlike(" (?:" + "|".join(KEYWORDS) + ") ")
     df = df.withColumn("_present", F.when(any_word, present))
 
     def cut(w: Column) -> Column:
@@ -139,9 +135,7 @@ def name_heuristic(
     base = F.regexp_extract("_text", "(?U)" + N.BASE_PHRASE, 1)
     df = df.withColumn(
         "_base",
-        F.when(
-            (base != "") & _first_with(MODIFIERS, T.padded_words(base)).isNotNull(), base
-        ),
+        F.when((base != "") & T.has_word(base, MODIFIERS), base),
     )
     df = df.withColumn("_commodity", commodity_head(F.col("_text")))
 
