@@ -6,7 +6,7 @@ word borders and classes their Unicode meaning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 UNICODE = "(?U)"
 
 
+def let(col: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(col)`` with ``col`` evaluated once, however often it is used.
+
+    Keeps nested text functions linear in size; without it every use of the
+    argument would repeat its whole expression in the plan.
+    """
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
 def matches(col: Column, pattern: str) -> Column:
     """True where the pattern occurs in the text."""
     return col.rlike(UNICODE + pattern)

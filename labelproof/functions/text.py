@@ -11,7 +11,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelproof.functions.patterns import UNICODE, any_of, literals, lookup, matches
+from labelproof.functions.patterns import UNICODE, any_of, let, literals, lookup, matches
 from labelproof.rules import lexicon, relevance, words
 
 _SPACES = UNICODE + r"\s+"
@@ -59,20 +59,28 @@ def blank_to_null(col: Column) -> Column:
 
 def strip_accents(col: Column) -> Column:
     """Canonical decomposition without its combining marks."""
-    plain = F.regexp_replace(_translate(col, _CANONICAL), r"\p{Mn}", "")
-    return F.when(_is_ascii(col), col).otherwise(plain)
+
+    def strip(text: Column) -> Column:
+        plain = F.regexp_replace(_translate(text, _CANONICAL), r"\p{Mn}", "")
+        return F.when(_is_ascii(text), text).otherwise(plain)
+
+    return let(col, strip)
 
 
 def strip_compatible(col: Column) -> Column:
     """Compatibility decomposition without its combining marks."""
     pairs = list(_COMPATIBLE_MANY.items())
-    spelled = F.array_join(
-        F.transform(F.split(col, ""), lambda c: F.coalesce(lookup(pairs, c), c)), ""
-    )
-    has_many = col.rlike("[" + "".join(_COMPATIBLE_MANY) + "]")
-    text = F.when(has_many, spelled).otherwise(col)
-    plain = F.regexp_replace(_translate(text, _COMPATIBLE_ONE), r"\p{Mn}", "")
-    return F.when(_is_ascii(col), col).otherwise(plain)
+
+    def strip(text: Column) -> Column:
+        spelled = F.array_join(
+            F.transform(F.split(text, ""), lambda c: F.coalesce(lookup(pairs, c), c)), ""
+        )
+        has_many = text.rlike("[" + "".join(_COMPATIBLE_MANY) + "]")
+        single = F.when(has_many, spelled).otherwise(text)
+        plain = F.regexp_replace(_translate(single, _COMPATIBLE_ONE), r"\p{Mn}", "")
+        return F.when(_is_ascii(text), text).otherwise(plain)
+
+    return let(col, strip)
 
 
 def fold(col: Column) -> Column:
@@ -141,30 +149,33 @@ def brand_key(col: Column) -> Column:
 
 def ean_normalize(col: Column) -> Column:
     """Bar code digits: 8 to 14, with 11 and 12 padded to 13; else null."""
-    text = F.regexp_replace(F.trim(col), r"\.0$", "")
-    expanded = F.when(
-        F.lower(text).contains("e"),
-        F.when(text.rlike(_NUMBER), text.try_cast("double").try_cast("bigint").cast("string")),
-    ).otherwise(text)
-    digits = F.regexp_replace(expanded, r"\D", "")
-    size = F.length(digits)
-    return F.when(size.isin(11, 12), F.lpad(digits, 13, "0")).when(
-        size.between(8, 14), digits
-    )
+
+    def expand(text: Column) -> Column:
+        number = text.try_cast("double").try_cast("bigint").cast("string")
+        exact = F.when(text.rlike(_NUMBER), number)
+        return F.when(F.lower(text).contains("e"), exact).otherwise(text)
+
+    def pad(digits: Column) -> Column:
+        size = F.length(digits)
+        return F.when(size.isin(11, 12), F.lpad(digits, 13, "0")).when(
+            size.between(8, 14), digits
+        )
+
+    text = let(F.regexp_replace(F.trim(col), r"\.0$", ""), expand)
+    return let(F.regexp_replace(text, r"\D", ""), pad)
 
 
 def price_parse(col: Column) -> Column:
     """Price with a decimal comma or point; null when it is not a number."""
     text = F.replace(col, F.lit(","), F.lit("."))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return let(text, lambda t: F.when(t.rlike(_NUMBER), t.try_cast("double")))
 
 
 def slugify(col: Column) -> Column:
     """Address part of a name: at most 70 plain characters."""
     plain = F.regexp_replace(strip_compatible(F.coalesce(col, F.lit(""))), r"[^\x00-\x7F]", "")
     slug = F.btrim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), F.lit("-"))
-    slug = F.substring(slug, 1, 70)
-    return F.when(slug == "", F.lit("producto")).otherwise(slug)
+    return F.coalesce(F.nullif(F.substring(slug, 1, 70), F.lit("")), F.lit("producto"))
 
 
 def product_route(ean: Column, name: Column) -> Column:
@@ -184,8 +195,12 @@ def tag_text(col: Column) -> Column:
 
 def search_key(col: Column) -> Column:
     """Search form of a text: accents and case removed, spaces kept."""
-    plain = F.regexp_replace(_translate(col, _CANONICAL), r"[̀-ͯ]", "")
-    return F.lower(F.when(_is_ascii(col), col).otherwise(plain))
+
+    def strip(text: Column) -> Column:
+        plain = F.regexp_replace(_translate(text, _CANONICAL), r"[̀-ͯ]", "")
+        return F.lower(F.when(_is_ascii(text), text).otherwise(plain))
+
+    return let(col, strip)
 
 
 def has_word(col: Column, word_list: list[str]) -> Column:

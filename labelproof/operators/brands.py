@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.functions.patterns import lookup
-from labelproof.operators.skew import HOT_ROWS, join_key_stats
+from labelproof.operators.skew import HOT_ROWS, join_key_stats, reliable
 from labelproof.rules import relevance as R
 from labelproof.rules import rows
 
@@ -86,7 +86,11 @@ def apply_map(
     rows_: DataFrame, brand: str, mapping: DataFrame, spread: Column, out: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Canonical brand: exact spelling, cleaned spelling, alias, cleaned text."""
+    """Canonical brand: exact spelling, cleaned spelling, alias, cleaned text.
+
+    The map is written once and read by both look-ups.
+    """
+    mapping = reliable(mapping)
     exact = mapping.select(
         F.col("marca").alias("_raw"), F.col("canonica").alias("_exact"), F.col("n").alias("_n")
     )

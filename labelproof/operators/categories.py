@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
-from labelproof.functions.patterns import any_of, lookup
+from labelproof.functions.patterns import any_of, let, lookup
 from labelproof.rules import categories as C
 from labelproof.rules import rows, words
 
@@ -24,11 +24,14 @@ def from_tags(tags: Column, rules: list[tuple[str, list[str]]] | None = None) ->
     """
     rules = TAG_RULES if rules is None else rules
     bodies = F.array_join(F.transform(tags, lambda t: T.tag_body(F.lower(t))), "\u0001")
-    found = None
-    for name, fragments in rules:
-        test, value = bodies.rlike(any_of(fragments)), F.lit(name)
-        found = F.when(test, value) if found is None else found.when(test, value)
-    return found
+
+    def first(text: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name, fragments in reversed(rules):
+            found = F.when(text.rlike(any_of(fragments)), F.lit(name)).otherwise(found)
+        return found
+
+    return let(bodies, first)
 
 
 def from_name(
@@ -40,16 +43,17 @@ def from_name(
     """First rule found in the name; animal ones are skipped for plant products."""
     rules = NAME_RULES if rules is None else rules
     animal = ANIMAL if animal is None else animal
-    text = F.trim(T.fold_compatible(name))
-    is_plant = text.rlike(rf"(?iU)\b(?:{plant_based})")
-    found = None
-    for category, pattern in rules:
-        test = text.rlike(rf"(?iU)\b(?:{pattern})")
-        if category in animal:
-            test = test & ~is_plant
-        value = F.lit(category)
-        found = F.when(test, value) if found is None else found.when(test, value)
-    return F.when(text != "", found)
+
+    def first(text: Column) -> Column:
+        is_plant = text.rlike(rf"(?iU)\b(?:{plant_based})")
+        found = F.lit(None).cast("string")
+        for category, pattern in reversed(rules):
+            test = text.rlike(rf"(?iU)\b(?:{pattern})")
+            test = test & ~is_plant if category in animal else test
+            found = F.when(test, F.lit(category)).otherwise(found)
+        return F.when(text != "", found)
+
+    return let(F.trim(T.fold_compatible(name)), first)
 
 
 def from_shelf(shelf: Column, rules: list[tuple[str, str]] | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
-from labelproof.functions.patterns import any_of, first_rank, literals, lookup, pick
+from labelproof.functions.patterns import any_of, first_rank, let, literals, lookup, pick
 from labelproof.rules import names as N
 from labelproof.rules import rows, words
 from labelproof.rules.labels import APTO, NO_APTO, REVISAR, SRC_NAME, SRC_NONE
@@ -29,11 +29,6 @@ def _has(padded: Column, word: Column) -> Column:
 
 def section_decision(category: Column) -> Column:
     """State and reason of a section name; null when it says nothing."""
-    key = T.norm_name(category)
-
-    def inside(fragments: list[str]) -> Column:
-        return key.rlike(any_of(fragments))
-
     animal = F.struct(
         F.lit(NO_APTO).alias("estado"),
         F.concat(F.lit("Rubro de origen animal: "), category).alias("motivo"),
@@ -42,7 +37,12 @@ def section_decision(category: Column) -> Column:
         F.lit(APTO).alias("estado"),
         F.concat(F.lit("Rubro de origen vegetal: "), category).alias("motivo"),
     )
-    return F.when(inside(ANIMAL_SECTIONS), animal).when(inside(PLANT_SECTIONS), plant)
+    return let(
+        T.norm_name(category),
+        lambda key: F.when(key.rlike(any_of(ANIMAL_SECTIONS)), animal).when(
+            key.rlike(any_of(PLANT_SECTIONS)), plant
+        ),
+    )
 
 
 def keyword_hits(df: DataFrame, text: str, out: str) -> DataFrame:

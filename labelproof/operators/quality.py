@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
-from labelproof.functions.patterns import any_of
+from labelproof.functions.patterns import any_of, let
 from labelproof.operators.skew import join_key_stats
 from labelproof.rules import relevance as R
 from labelproof.rules import rows, words
@@ -34,8 +34,10 @@ def is_non_food(
     """True where the name holds a non-food word or phrase."""
     word_list = words(R.NON_FOOD_WORDS) if word_list is None else word_list
     phrases = words(R.NON_FOOD_PHRASES) if phrases is None else phrases
-    text = T.fold_compatible(name)
-    hit = T.has_word(text, word_list) | text.rlike(any_of(phrases))
+    hit = let(
+        T.fold_compatible(name),
+        lambda text: T.has_word(text, word_list) | text.rlike(any_of(phrases)),
+    )
     return F.coalesce(hit, F.lit(False))
 
 

@@ -29,7 +29,8 @@ def judged_candidates(
     kept = listed.filter(
         quality.exclusion_reason(F.col("nombre"), F.col("ean")).isNull()
     )
-    df = candidates.features(parse_payload(kept), catalog, shelf, sheets)
+    # Read by the registry match and by the decision.
+    df = reliable(candidates.features(parse_payload(kept), catalog, shelf, sheets))
     prepared = registry.prepare(registered, "marca", "producto")
     hits = registry.match(df.select("ean", "nombre", "marca"), prepared)
     df = df.join(hits.select("ean", "rnpa"), "ean", "left")

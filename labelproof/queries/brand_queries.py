@@ -12,7 +12,7 @@ from labelproof.queries.base import CHECK_VIEWS, query
 from labelproof.queries.quality_queries import build_inputs
 from labelproof.queries.source_queries import shelf_table
 
-_CLEAN = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN {0} LIKE '[''%''']'
+_CLEAN = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN {0} LIKE '[''%'']'
   THEN substring({0}, 3, length({0}) - 4) ELSE {0} END, '\s*,\s*', ', ', 'g'), '\s*%\s*$', ''), '\s+', ' ', 'g'),
   ' ,-'), '')"""
 _KEY = r"coalesce(trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g')), '')"
