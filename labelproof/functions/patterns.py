@@ -23,14 +23,52 @@ def let(col: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(col), body), F.lit(0))
 
 
+def settled(col: Column) -> Column:
+    """The same value, kept as one computed column of its projection.
+
+    A filter on a verdict would otherwise be moved below the projections that
+    compute it, and each use of a column on the way would be replaced by its
+    whole expression. The test is always true; that it reads a random number
+    keeps the optimiser from moving or repeating the value.
+    """
+    return F.when(F.rand(0) >= 0, col)
+
+
 def matches(col: Column, pattern: str) -> Column:
     """True where the pattern occurs in the text."""
     return col.rlike(UNICODE + pattern)
 
 
+def _branches(pattern: str) -> list[str]:
+    """Alternatives of a pattern outside all brackets."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            i += 1
+        elif char in "([":
+            depth += 1
+        elif char in ")]":
+            depth -= 1
+        elif char == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
 def any_of(patterns: Sequence[str]) -> str:
-    """One alternation that matches where any of the patterns does."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One alternation that matches where any of the patterns does.
+
+    The word border that most alternatives start with is tested once per place
+    of the text, not once per alternative.
+    """
+    branches = [b for p in patterns for b in _branches(p)]
+    at_word = [b[2:] for b in branches if b.startswith(r"\b")]
+    others = [b for b in branches if not b.startswith(r"\b")]
+    if not at_word:
+        return "|".join(others)
+    return "|".join([rf"\b(?:{'|'.join(at_word)})", *others])
 
 
 def sql_literal(value: str) -> str:

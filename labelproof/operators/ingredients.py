@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from labelproof.functions import text as T
 from labelproof.functions.display import round_ratio, whole_percent
 from labelproof.functions.patterns import (
-    UNICODE, add_field, any_of, matches, pick, rank_case, sql_literal,
+    UNICODE, add_field, any_of, matches, pick, rank_case, settled, sql_literal,
 )
 from labelproof.rules import lexicon, lines, rows, words
 from labelproof.rules.labels import (
@@ -296,6 +296,6 @@ def analyze_text(df: DataFrame, text: str, out: str) -> DataFrame:
         "Sin ingredientes animales claros, pero hay ",
         "El producto no publica su lista de ingredientes",
     )
-    return df.withColumn(out, verdict).drop(
+    return df.withColumn(out, settled(verdict)).drop(
         "_norm", "_tokens", "_traces", "_marks", "_ranks", "_items", "_sum"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
-from labelproof.functions.patterns import any_of, first_rank, let, literals, lookup, pick
+from labelproof.functions.patterns import any_of, first_rank, let, literals, lookup, pick, settled
 from labelproof.rules import names as N
 from labelproof.rules import rows, words
 from labelproof.rules.labels import APTO, NO_APTO, REVISAR, SRC_NAME, SRC_NONE
@@ -210,6 +210,6 @@ def name_heuristic(
             )
         )
     )
-    return df.withColumn(out, verdict).drop(
+    return df.withColumn(out, settled(verdict)).drop(
         "_text", "_claim", "_words", "_section", "_open", "_neutral", "_base", "_commodity"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelproof.functions.patterns import settled
 from labelproof.operators import ingredients as I
 from labelproof.operators.evidence import analyze_product, resolved, two_sources
 from labelproof.operators.names import name_heuristic
@@ -190,4 +191,4 @@ def decide(df: DataFrame, out: str = "decision") -> DataFrame:
             )
         )
     )
-    return df.withColumn(out, decision).drop("_payload", "_sheet", "_ing", "_off", "_name")
+    return df.withColumn(out, settled(decision)).drop("_payload", "_sheet", "_ing", "_off", "_name")
