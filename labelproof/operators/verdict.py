@@ -151,8 +151,8 @@ def decide(df: DataFrame, out: str = "decision") -> DataFrame:
     declared = has_tag(F.col("off_labels"), "en:vegan")
     sealed = has_tag(seals, "vegan")
     number = F.concat(F.lit("(RNPA "), F.col("rnpa"), F.lit(")"))
-    settled = registered | declared | sealed | resolved(ing) | resolved(off)
-    df = name_heuristic(df, "nombre", "marca", "categoria", "_name", ~settled)
+    closed = registered | declared | sealed | resolved(ing) | resolved(off)
+    df = name_heuristic(df, "nombre", "marca", "categoria", "_name", ~closed)
     name = F.col("_name")
     decision = (
         F.when(

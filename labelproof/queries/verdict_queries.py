@@ -62,7 +62,7 @@ CHECK_VIEWS["o_name_dec"] = r"""SELECT n.o,
   CASE WHEN abierta IS NOT NULL AND rubro = 'Legumbres secas' THEN 'revisar'
     WHEN abierta IS NOT NULL THEN 'no_apto' WHEN neutra IS NOT NULL THEN 'apto'
     WHEN regexp_matches(base, '\b(coco|girasol)\b') THEN 'apto'
-    WHEN regexp_matches(t, '^(harina|azucar|aceite)\b') THEN 'apto'
+    WHEN regexp_matches(t, '^(harina|azucar|aceite)( |$)') THEN 'apto'
     WHEN rubro = 'Quesos duros' THEN 'no_apto' WHEN rubro = 'Legumbres secas' THEN 'apto'
     ELSE 'revisar' END AS estado,
   CASE WHEN abierta IS NOT NULL AND rubro = 'Legumbres secas' THEN
@@ -71,7 +71,7 @@ CHECK_VIEWS["o_name_dec"] = r"""SELECT n.o,
     WHEN neutra IS NOT NULL THEN '"' || neutra || ' de ' || CASE mod WHEN 0 THEN 'coco' ELSE 'girasol' END
       || '": versión vegetal'
     WHEN regexp_matches(base, '\b(coco|girasol)\b') THEN 'Base vegetal declarada: "' || base || '"'
-    WHEN regexp_matches(t, '^(harina|azucar|aceite)\b') THEN '"' || CASE WHEN t LIKE 'aceite de girasol%'
+    WHEN regexp_matches(t, '^(harina|azucar|aceite)( |$)') THEN '"' || CASE WHEN t LIKE 'aceite de girasol%'
       THEN 'aceite de girasol' ELSE regexp_extract(t, '^[a-z]+') END || '" es de origen vegetal o mineral'
     WHEN rubro = 'Quesos duros' THEN 'Rubro de origen animal: Quesos duros'
     WHEN rubro = 'Legumbres secas' THEN 'Rubro de origen vegetal: Legumbres secas'
