@@ -33,7 +33,8 @@ def judged_candidates(
     df = reliable(candidates.features(parse_payload(kept), catalog, shelf, sheets))
     prepared = registry.prepare(registered, "marca", "producto")
     hits = registry.match(df.select("ean", "nombre", "marca"), prepared)
-    df = df.join(hits.select("ean", "rnpa"), "ean", "left")
+    # Few rows; written so that the match is not planned again by every step below.
+    df = df.join(reliable(hits.select("ean", "rnpa")), "ean", "left")
     df = df.select(
         "*",
         F.coalesce(F.col("payload").isNotNull(), F.lit(False)).alias("off_found"),

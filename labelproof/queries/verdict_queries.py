@@ -204,7 +204,7 @@ _match_views("reg_", "SELECT ean, nombre, marca FROM o_kept", "v_registered")
 _NAME_STATE = r"""CASE WHEN t LIKE '%leche%' OR t LIKE '%miel%' OR t LIKE '%gelatina%' THEN
     CASE WHEN t LIKE '%coco%' THEN 'apto' ELSE 'no_apto' END
   WHEN t LIKE '%coco%' OR t LIKE '%girasol%' THEN 'apto' WHEN regexp_matches(t, '^(harina|azucar)') THEN 'apto'
-  ELSE 'revisar' END"""
+  WHEN categoria = 'Lácteos' THEN 'no_apto' ELSE 'revisar' END"""
 _NAME_REASON = r"""CASE WHEN k <> '' AND t LIKE '%coco%' THEN '"' || k || ' de coco": versión vegetal'
   WHEN k <> '' THEN '"' || k || '" es de origen animal'
   WHEN t LIKE '%de girasol de coco%' THEN 'Base vegetal declarada: "girasol de coco"'
@@ -212,7 +212,7 @@ _NAME_REASON = r"""CASE WHEN k <> '' AND t LIKE '%coco%' THEN '"' || k || ' de c
   WHEN t LIKE '%de girasol%' THEN 'Base vegetal declarada: "girasol"'
   WHEN t LIKE '%de coco%' THEN 'Base vegetal declarada: "coco"'
   WHEN regexp_matches(t, '^(harina|azucar)') THEN '"' || regexp_extract(t, '^[a-z]+')
-    || '" es de origen vegetal o mineral'
+    || '" es de origen vegetal o mineral' WHEN categoria = 'Lácteos' THEN 'Rubro de origen animal: Lácteos'
   ELSE 'Sin datos suficientes para clasificar por nombre' END"""
 CHECK_VIEWS["o_cand_ev"] = f"""SELECT f.*, r.rnpa, p.off_labels, p.off_analysis, p.off_txt, p.off_tags,
     p.off_image, p.off_categories,
