@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, quality, token_files
-from labelproof.llm.common import new_folder, table
+from labelproof.llm import bpe, quality, sketch, token_files, toxicity
+from labelproof.llm.common import held_out, new_folder, table
 from labelproof.llm.tokens import vocabulary
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,10 +36,30 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op4_bpe": op4_bpe,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op8_toxicity": op8_toxicity,
 }
 
-CHECKS: dict[str, str] = {"op1_quality_rules": quality.CHECK}
+CHECKS: dict[str, str] = {
+    "op1_quality_rules": quality.CHECK,
+    "op6_near_duplicates": sketch.check_sql(4, 80),
+}
