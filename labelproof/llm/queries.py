@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, quality, sketch, token_files, toxicity
+from labelproof.llm import bpe, decontaminate, quality, sketch, token_files, toxicity
 from labelproof.llm.common import held_out, new_folder, table
 from labelproof.llm.tokens import vocabulary
 
@@ -51,15 +51,22 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op4_bpe": op4_bpe,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
 CHECKS: dict[str, str] = {
     "op1_quality_rules": quality.CHECK,
+    "op9_decontamination": decontaminate.CHECK,
     "op6_near_duplicates": sketch.check_sql(4, 80),
 }

@@ -212,9 +212,11 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    family = F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
-    return rows.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), family.alias("family")).dropDuplicates(["family", "toxic"])
+    rows = rows.withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
+    near = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    return rows.select(
+        "doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.array_min(near).alias("family")
+    ).dropDuplicates(["family", "toxic"])
 
 
 def lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
