@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontaminate, quality, sketch, token_files, toxicity
+from labelproof.llm import bpe, decontaminate, language, pii, quality, sketch, token_files, toxicity
 from labelproof.llm.common import held_out, new_folder, table
 from labelproof.llm.tokens import vocabulary
 
@@ -26,6 +26,14 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, shards)
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    content = language.dictionaries(docs)
+    return language.predicted(docs.select("doc_id", "text"), content).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, vocabulary(WORD_BPE)).select(
@@ -36,6 +44,21 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = pii.found(docs, pii.fit(docs)).select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
+
+    def joined(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select(
+        "doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=4, percent=80)
 
@@ -59,7 +82,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
+    "op3_language": op3_language,
     "op4_bpe": op4_bpe,
+    "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
