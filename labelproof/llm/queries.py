@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontaminate, language, pii, quality, sketch, token_files, toxicity
+from labelproof.llm import bpe, chat, decontaminate, html, language, pii, quality, sketch, token_files, toxicity
 from labelproof.llm.common import held_out, new_folder, table
 from labelproof.llm.tokens import vocabulary
 
@@ -63,6 +63,22 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=4, percent=80)
 
 
+def op7_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation against itself with another one's last answer."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = chat.preferences(turns.withColumnRenamed("conv_id", "pair_id"), chat.borrowed(turns).withColumnRenamed("conv_id", "pair_id"))
+    counts = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+    pairs = pairs.join(counts, pairs["pair_id"].eqNullSafe(counts["conv_id"]))
+
+    def mask(name: str):
+        return F.array_join(F.transform(name, lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",").alias(name)
+
+    return pairs.select(
+        "conv_id", F.col("common").cast("long").alias("common"), "n_turns", F.sha2("prompt", 256).alias("prompt_sha256"),
+        F.sha2("chosen", 256).alias("chosen_sha256"), F.sha2("rejected", 256).alias("rejected_sha256"), mask("chosen_mask"), mask("rejected_mask"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -79,6 +95,12 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, folder, "benchmark"))
 
 
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    rows = html.extracted(pages, html.fit(pages))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -86,12 +108,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_preferences": op7_preferences,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_main_text": op10_main_text,
 }
 
 CHECKS: dict[str, str] = {
     "op1_quality_rules": quality.CHECK,
+    "op7_preferences": chat.CHECK,
     "op9_decontamination": decontaminate.CHECK,
     "op6_near_duplicates": sketch.check_sql(4, 80),
 }
