@@ -239,7 +239,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
         else:
             ties[row["what"]][row["first"], row["second"]] += row["count"]
     pmi = {k: np.clip(np.log(c * c.sum() / np.outer(c.sum(axis=1), c.sum(axis=0))), -3, 3) for k, c in ties.items()}
-    weights, bias = _multinomial(np.array(x, int).reshape(len(y), -1), np.array(y, int), np.array(n, float), len(number))
+    weights, bias = _multinomial(np.array(x, int).reshape(len(y), 5), np.array(y, int), np.array(n, float), len(number))
     return Field({f: weights[i].tolist() for f, i in number.items()}, bias.tolist(), pmi["chain"].tolist(), pmi["skip"].tolist())
 
 
