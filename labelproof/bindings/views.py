@@ -144,14 +144,19 @@ FROM v_payload
 """
 
 VIEWS["v_sheet"] = """
-SELECT lpad(cast(o - 1 AS varchar(20)), 13, '0') AS ean, o,
+SELECT lpad(cast(CASE WHEN o = 0 THEN 999999999999 ELSE o - 1 END AS varchar(20)), 13, '0') AS ean, o,
   CASE o % 3 WHEN 0 THEN 'disco' WHEN 1 THEN 'jumbo' ELSE 'vea' END AS cadena,
   CASE WHEN o % 4 = 3 THEN NULL ELSE txt END AS ingredientes,
   CASE WHEN o % 4 = 1 THEN 'soja' ELSE NULL END AS trazas,
   CASE o % 9 WHEN 0 THEN 'kosher,vegan' WHEN 1 THEN 'gluten_free,kosher'
     WHEN 2 THEN 'gluten_free,vegan,vegetarian' WHEN 3 THEN 'vegan_friendly' ELSE NULL END AS sellos,
   fecha AS actualizado
-FROM v_label WHERE o >= 1
+FROM v_label
+"""
+
+# All sheets under every second code, so that shelf codes without a sheet remain.
+VIEWS["v_fetched"] = """
+SELECT lpad(cast(o * 2 AS varchar(20)), 13, '0') AS ean, cadena, ingredientes, trazas, sellos, actualizado FROM v_sheet
 """
 
 VIEWS["v_registry"] = """
@@ -161,9 +166,11 @@ SELECT p_partkey AS id, 'BRAND ' || brand_no AS marca,
 FROM v_part
 """
 
-# The registry of the build covers the smallest sizes.
+# The registry of the build: all rows; larger sizes belong to brands that no product has,
+# so that the sources behind the registry still decide some rows.
 VIEWS["v_registered"] = """
-SELECT id, marca, producto, rnpa FROM v_registry WHERE p_size <= 2
+SELECT id, CASE WHEN p_size <= 2 THEN marca ELSE 'AJENA ' || cast(id AS varchar(20)) END AS marca, producto, rnpa
+FROM v_registry
 """
 
 VIEWS["v_fix"] = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.functions.patterns import lookup
-from labelproof.operators.skew import HOT_ROWS, join_key_stats, reliable
+from labelproof.operators.skew import HOT_KEYS, join_key_stats, reliable
 from labelproof.rules import relevance as R
 from labelproof.rules import rows
 
@@ -84,7 +84,7 @@ def brand_map(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def apply_map(
     rows_: DataFrame, brand: str, mapping: DataFrame, spread: Column, out: str,
-    hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Canonical brand: exact spelling, cleaned spelling, alias, cleaned text.
 
@@ -100,11 +100,11 @@ def apply_map(
     )
     kept = [c for c in rows_.columns if c != out]
     df = rows_.select(*kept, F.col(brand).alias("_raw"))
-    df = join_key_stats(df, exact, "_raw", "_n", spread, hot_rows)
+    df = join_key_stats(df, exact, "_raw", "_n", spread, hot_keys)
     df = df.withColumn("_clean", T.brand_clean(F.col("_raw"))).drop("_raw")
     # Only spellings the map does not hold take the second look-up.
     df = df.withColumn("_raw", F.when(F.col("_exact").isNull(), F.col("_clean")))
-    df = join_key_stats(df, cleaned, "_raw", "_n", spread, hot_rows)
+    df = join_key_stats(df, cleaned, "_raw", "_n", spread, hot_keys)
     alias = lookup(ALIASES, T.brand_key(F.col("_clean")))
     value = F.coalesce("_exact", "_cleaned", alias, "_clean")
     return df.withColumn(out, value).drop("_raw", "_exact", "_clean", "_cleaned")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelproof.operators.skew import dense_positions
+from labelproof.operators.skew import dense_positions, reliable
 
 
 def pages(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -78,23 +78,24 @@ def neighbours(
     )
 
 
-def drill_down(nodes: DataFrame, cap: Column, levels: int) -> DataFrame:
+def drill_down(nodes: DataFrame, cap: Column) -> DataFrame:
     """Units to page through: ``id, total`` of the nodes kept under a cap.
 
     ``nodes`` has ``id, parent, total, leaf, raiz``; a node is entered from a
     kept-open parent. It is a unit when its total fits or it has no children
     (then its total is clipped), else its children are looked at; empty nodes
-    are dropped. A shop tree has a fixed small depth, which bounds the joins.
+    are dropped. The walk ends when no node is left open, so the tree may be of
+    any depth; a node has one parent, so none is entered twice.
     """
     fits = (F.col("total") <= cap) | F.col("leaf")
     alive = nodes.filter(F.col("total") > 0)
     frontier = alive.filter("raiz")
     units = None
-    for _ in range(levels):
+    while units is None or not frontier.isEmpty():
         done = frontier.filter(fits).select(
             "id", F.least(F.col("total"), cap).cast("bigint").alias("total")
         )
         units = done if units is None else units.unionByName(done)
         opened = frontier.filter(~fits).select(F.col("id").alias("parent"))
-        frontier = alive.join(opened, "parent")
+        frontier = reliable(alive.join(opened, "parent").select(*nodes.columns))
     return units

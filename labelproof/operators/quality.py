@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.functions.patterns import any_of, let
-from labelproof.operators.skew import join_key_stats
+from labelproof.operators.skew import dense_positions, join_key_stats
 from labelproof.rules import relevance as R
 from labelproof.rules import rows, words
 from labelproof.rules.labels import FAILURE_STREAK, PHANTOM_SOURCES
@@ -127,20 +127,23 @@ def cut_failure_streak(
 ) -> DataFrame:
     """Rows of each run up to the end of its first streak of failures.
 
-    Positions of a run are dense. A run is looked at in chunks of positions,
-    each with the last ``streak - 1`` rows of the chunk before, so a long run
-    spreads over many tasks and the only per-run state is one position.
-    ``run`` is a text column.
+    Rows are numbered by run and position first, so gaps between positions
+    don't matter. A run is looked at in chunks of those numbers, each with the
+    last ``streak - 1`` rows of the chunk before, so a long run spreads over
+    many tasks and the only per-run state is one position. ``run`` is a text
+    column.
     """
+    if chunk < streak:
+        raise ValueError("a chunk must hold a whole streak")
     halo = streak - 1
-    home = F.floor(F.col(pos) / chunk).cast("bigint")
+    named = log.select(run, pos, failed.cast("int").alias("_failed"))
+    numbered = dense_positions(named, [F.col(run), F.col(pos)], "_nth")
+    home = F.floor(F.col("_nth") / chunk).cast("bigint")
     # The last rows of a chunk are also seen by the next one.
-    late = F.col(pos) % chunk >= chunk - halo
+    late = F.col("_nth") % chunk >= chunk - halo
     chunks = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
-    flags = log.select(
-        run, pos, failed.cast("int").alias("_failed"), F.explode(chunks).alias("_chunk")
-    )
-    last = Window.partitionBy(run, "_chunk").orderBy(pos).rowsBetween(-halo, 0)
+    flags = numbered.select(run, pos, "_nth", "_failed", F.explode(chunks).alias("_chunk"))
+    last = Window.partitionBy(run, "_chunk").orderBy("_nth").rowsBetween(-halo, 0)
     ends = flags.withColumn("_run", F.sum("_failed").over(last)).filter(
         F.col("_run") >= streak
     )

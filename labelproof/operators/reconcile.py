@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.operators.ingredients import severity
-from labelproof.operators.skew import HOT_ROWS, join_key_stats
+from labelproof.operators.skew import HOT_KEYS, join_key_stats
 from labelproof.rules.labels import (
     APTO, REVISAR, SEVERITY, SRC_DUPLICATE, SRC_HUMAN, SRC_NONE,
 )
@@ -19,7 +19,7 @@ def duplicate_key(brand: Column, name: Column) -> Column:
     return F.when(key != "", F.concat(T.norm_name(brand), F.lit("\u0001"), key))
 
 
-def reconcile_duplicates(products: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def reconcile_duplicates(products: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Lower the members of a duplicate group to its worst grounded verdict.
 
     Unresolved members only move to bad news. The groups are aggregated before
@@ -49,7 +49,7 @@ def reconcile_duplicates(products: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
             ).alias("_worst_ean"),
         )
     )
-    df = join_key_stats(df, groups, "_key", "_members", F.col("ean"), hot_rows)
+    df = join_key_stats(df, groups, "_key", "_members", F.col("ean"), hot_keys)
     states = F.when(F.col("_level") == 0, APTO)
     for state, rank in SEVERITY.items():
         states = states.when(F.col("_level") == rank, state)

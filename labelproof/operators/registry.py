@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
+from labelproof.functions.display import round_ratio
 from labelproof.operators.skew import join_key_stats
 from labelproof.rules import relevance as R
 from labelproof.rules.labels import REGISTRY_OVERLAP
@@ -88,7 +89,9 @@ def match(
     def by_rarity(side: DataFrame, tokens: str, key: list[str]) -> DataFrame:
         each = side.select(*key, F.explode(tokens).alias("_token"))
         each = each.withColumn("_pair", _joined("_brand", "_token"))
-        ranked = join_key_stats(each, rarity, "_pair", "_weight", F.col("_pair"))
+        ranked = join_key_stats(
+            each, rarity, "_pair", "_weight", F.xxhash64(*key).cast("string")
+        )
         ordered = F.transform(
             F.array_sort(F.collect_list(F.struct("_count", "_token"))), lambda s: s["_token"]
         )
@@ -125,12 +128,13 @@ def match(
 
     pairs = paired(True).unionByName(paired(False))
     shared = F.array_intersect("_tokens", "_words")
-    score = F.size(shared) / F.least(F.size("_tokens"), F.size("_words"))
-    scored = pairs.withColumn("_score", score).filter(
+    smaller = F.least(F.size("_tokens"), F.size("_words"))
+    scored = pairs.withColumn("_score", F.size(shared) / smaller)
+    scored = scored.withColumn("_rounded", round_ratio(F.size(shared), smaller, 2)).filter(
         (F.size(F.array_except(shared, F.col("_flavour"))) > 0) & (F.col("_score") >= overlap)
     )
     best = scored.groupBy("_brand", "_tokens").agg(
-        F.max(F.struct("_score", (-F.col("_first.id")).alias("_order"), "_first")).alias("_best")
+        F.max(F.struct("_score", (-F.col("_first.id")).alias("_order"), "_first", "_rounded")).alias("_best")
     )
     # Equal names share one result; a very common name is joined by broadcast.
     named = named.withColumn("_name", _joined("_brand", F.array_join("_tokens", " ")))
@@ -146,13 +150,13 @@ def match(
                 (-F.col("_place")).alias("place"),
                 F.col("_best._order").alias("order"),
                 F.col("_best._first").alias("first"),
+                F.col("_best._rounded").alias("rounded"),
             )
         ).alias("_top")
     )
-    hundredths = F.floor(F.col("_top.score") * 100 + 0.5) / 100
     return chosen.select(
         "ean",
         F.col("_top.first.id").alias("id"),
         F.col("_top.first.rnpa").alias("rnpa"),
-        hundredths.alias("score"),
+        F.col("_top.rounded").alias("score"),
     )

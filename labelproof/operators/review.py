@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelproof.operators.skew import HOT_ROWS, join_key_stats
+from labelproof.operators.skew import HOT_KEYS, join_key_stats
 from labelproof.rules.labels import APTO, NAME_ONLY_SOURCES, REVISAR
 
 
 def queue(
-    products: DataFrame, risk: bool = False, limit: int | None = None, hot_rows: int = HOT_ROWS
+    products: DataFrame, risk: bool = False, limit: int | None = None, hot_keys: int = HOT_KEYS
 ) -> DataFrame:
     """Rows to review, heaviest brand first, with the brand's row count as ``peso``.
 
@@ -24,7 +24,7 @@ def queue(
     weights = rows.groupBy("_brand").agg(
         F.count("*").alias("_n"), F.count("*").alias("peso")
     )
-    weighed = join_key_stats(rows, weights, "_brand", "_n", F.col("ean"), hot_rows)
+    weighed = join_key_stats(rows, weights, "_brand", "_n", F.col("ean"), hot_keys)
     ordered = weighed.drop("_brand").orderBy(
         F.desc("peso"), F.asc_nulls_first("marca"), F.asc("nombre"), F.asc("ean")
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-HOT_ROWS = 1_000_000
+# So many of the heaviest keys are joined by broadcast.
+HOT_KEYS = 1000
 _ROW_BITS = 33
 
 
@@ -18,23 +20,21 @@ def join_key_stats(
     key: str,
     weight: str,
     spread: Column,
-    hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left join of ``rows`` with one row per key, safe for hot and null keys.
 
-    ``weight`` counts the rows of each key. At most ``total / hot_rows`` keys
-    reach ``hot_rows``, so those are few by construction and go by broadcast.
-    Their rows, and rows with a null key, then take a key of their own in the
-    shuffle join that serves all other keys, instead of meeting in one task.
+    ``weight`` counts the rows of each key. The ``hot_keys`` heaviest keys go by
+    broadcast, a list of fixed length at any size; every other key holds less
+    than one part in ``hot_keys`` of the rows. Rows of those keys, and rows with
+    a null key, then take a key of their own in the shuffle join that serves all
+    other keys, instead of meeting in one task.
     """
     values = [c for c in stats.columns if c not in (key, weight)]
     packed = F.struct(*values)
-    hot = stats.filter(F.col(weight) >= hot_rows).select(
-        F.col(key).alias("_hot_key"), packed.alias("_hot")
-    )
-    rest = stats.filter(F.coalesce(F.col(weight), F.lit(0)) < hot_rows).select(
-        F.col(key).alias("_rest_key"), packed.alias("_rest")
-    )
+    hot = stats.filter(F.col(key).isNotNull()).orderBy(F.desc(weight), key).limit(hot_keys)
+    hot = hot.select(F.col(key).alias("_hot_key"), packed.alias("_hot"))
+    rest = stats.select(F.col(key).alias("_rest_key"), packed.alias("_rest"))
     tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     regular = F.col("_hot_key").isNull() & F.col(key).isNotNull()
     tagged = tagged.withColumn(
@@ -48,22 +48,28 @@ def join_key_stats(
     ).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session that names none gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = f"file:///tmp/checkpoints/labelproof-{os.getpid()}"
+    return folder.rstrip("/")
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session.
+    """The rows written once to the shared folder, by columns, and read from there.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session that
-    names none gets a folder of its own.
+    Later steps read only the columns they need, and a lost executor loses no
+    rows.
     """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="labelproof-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dense_positions(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
@@ -71,7 +77,7 @@ def dense_positions(df: DataFrame, order: list[Column], out: str = "pos") -> Dat
 
     Rows are range partitioned and numbered inside their partition; the row
     counts of the partitions, one per shuffle partition, give the offsets.
-    The numbered rows are checkpointed, so the offsets fit them even when an
+    The numbered rows are written, so the offsets fit them even when an
     executor is lost between the two uses.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

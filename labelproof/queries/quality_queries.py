@@ -174,7 +174,7 @@ def hierarchy_drilldown(spark, d):
     root = F.col("parent").isNull() & Q.is_food_branch(F.col("nombre"))
     nodes = tree.select("id", "parent", "total", F.col("hoja").alias("leaf"), root.alias("raiz"))
     cap = sql(spark, d, "SELECT CAST(floor(count(*) / 20.0) AS bigint) AS c FROM customer").scalar()
-    return L.drill_down(nodes, cap, levels=3)
+    return L.drill_down(nodes, cap)
 
 
 # --- queues, samples and listings ---------------------------------------------
@@ -378,16 +378,19 @@ def first_by_priority(spark, d):
     """WITH q AS (SELECT v.ean, min(v.cadena) AS cadena, min(v.nombre) AS nombre,
         min(CASE WHEN v.ean LIKE '2%' THEN 3 WHEN p.ean IS NULL THEN 1 WHEN coalesce(p.ingredients_text, '') = ''
           OR p.fuente_decision IN ('heuristica', 'ml', 'sin_datos') THEN 0 ELSE 2 END) AS prioridad
-      FROM o_shelf v LEFT JOIN (SELECT * FROM v_sheet WHERE sellos IS NOT NULL) f ON f.ean = v.ean
-      LEFT JOIN (SELECT * FROM v_products WHERE p_type <> 'PROMO') p ON p.ean = v.ean
+      FROM o_shelf v LEFT JOIN v_fetched f ON f.ean = v.ean LEFT JOIN (SELECT CASE WHEN p_partkey % 5 = 0
+        THEN '9' || substring(ean, 2) ELSE ean END AS ean, ingredients_text, fuente_decision FROM v_products) p
+        ON p.ean = v.ean
       WHERE v.cadena IN ('disco', 'jumbo', 'vea') AND f.ean IS NULL GROUP BY v.ean)
     SELECT ean, cadena, nombre, prioridad FROM q WHERE lower(nombre) NOT LIKE '%lecitina%'
       AND lower(nombre) NOT LIKE '%leche y sal%'""",
 )
 def harvest_queue(spark, d):
-    sheets = view(spark, d, "v_sheet").filter("sellos IS NOT NULL")
-    known = products(spark, d).filter("p_type <> 'PROMO'")
-    return J.harvest_queue(shelf_table(spark, d), sheets, known, **DEMO_WORDS)
+    known = products(spark, d).withColumn(
+        "ean",
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("9"), F.substr("ean", F.lit(2)))).otherwise(F.col("ean")),
+    )
+    return J.harvest_queue(shelf_table(spark, d), view(spark, d, "v_fetched"), known, **DEMO_WORDS)
 
 
 @query(

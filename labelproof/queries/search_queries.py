@@ -80,7 +80,7 @@ def search_like(spark, d):
 
 @query(
     "completeness_order",
-    r"""SELECT ean, nombre, len(regexp_extract_all(nombre, '\p{L}')) // 3 * 0 + CASE WHEN
+    r"""SELECT ean, nombre, CASE WHEN
       len(regexp_extract_all(nombre, '\p{L}')) >= 3 THEN 1 ELSE 0 END + CASE WHEN ingredients_text <> '' THEN 2
       ELSE 0 END + CASE WHEN imagen_url IS NULL THEN 0 ELSE 1 END + CASE WHEN cadenas IS NULL THEN 0 ELSE 1 END
       AS puntaje FROM v_products""",
@@ -131,7 +131,7 @@ VIEWS["v_terms"] = """
 SELECT CASE event_type WHEN 'view' THEN ' ' || p.base || '  Brand ' || cast(event_id % 30 AS varchar(20))
     WHEN 'click' THEN upper(p.food) WHEN 'error' THEN 'nada ' || p.base WHEN 'signup' THEN 'ab'
     ELSE p.noun || ' ' || p.adj END AS termino, user_id AS sesion
-FROM events JOIN v_part p ON p.p_partkey = event_id % 200
+FROM (SELECT *, event_id % (SELECT count(*) FROM part) AS nth FROM events) e JOIN v_part p ON p.p_partkey = nth
 """
 
 
@@ -224,7 +224,7 @@ def labelled(spark, d):
 def _fitted(spark, d):
     rows = reliable(labelled(spark, d))
     parted = M.split(rows.filter("estado <> 'revisar'"), "estado", "ean")
-    return M.fit(parted.filter("entrena").drop("entrena"), max_iter=100), parted, rows
+    return M.fit(parted.filter("entrena").drop("entrena")), parted, rows
 
 
 @query("ml_split")

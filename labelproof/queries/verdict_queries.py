@@ -105,7 +105,7 @@ def _match_views(prefix: str, names: str, registry: str) -> str:
       FROM (SELECT ean, string_split(marca, ',') AS m, {_TOKENS.format('nombre')} AS t FROM ({names}))"""
     CHECK_VIEWS[f"o_{prefix}r"] = f"""SELECT id, rnpa, lower(marca) AS marca, {_TOKENS.format('producto')} AS t,
         ['dulce', regexp_extract(producto, 'sabor dulce de (\\w+)', 1)] AS sabor FROM {registry}"""
-    CHECK_VIEWS[f"o_{prefix}m"] = f"""SELECT ean, id, rnpa, floor(s * 100 + 0.5) / 100 AS score FROM (SELECT n.ean,
+    CHECK_VIEWS[f"o_{prefix}m"] = f"""SELECT ean, id, rnpa, round_even(s, 2) AS score FROM (SELECT n.ean,
         r.id, r.rnpa, len(list_intersect(n.t, r.t)) / least(len(n.t), len(r.t))::DOUBLE AS s, row_number() OVER (
         PARTITION BY ean ORDER BY len(list_intersect(n.t, r.t)) / least(len(n.t), len(r.t))::DOUBLE DESC, lugar, id)
         AS i FROM o_{prefix}n n JOIN o_{prefix}r r ON r.marca = n.marca AND n.marca <> '' WHERE len(n.t) > 0

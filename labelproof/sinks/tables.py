@@ -138,6 +138,10 @@ def export_summary(exported: DataFrame) -> DataFrame:
     return known.unionByName(rest).select("seccion", "nombre", slug.alias("slug"), "n")
 
 
+# A mask of chains is one signed 64-bit number.
+MOST_CHAINS = 63
+
+
 def dictionary(rows: DataFrame, value: str, key: str) -> DataFrame:
     """Ids of distinct values in order of first appearance: ``valor, idx, n``."""
     first = (
@@ -159,7 +163,8 @@ def chain_dictionary(exported: DataFrame) -> DataFrame:
 def index_rows(exported: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Compact search index rows and their dictionaries.
 
-    Ids are −1 for a missing value; the chains of a row are one bit mask.
+    Ids are −1 for a missing value; the chains of a row are one bit mask, and
+    more chains than it has bits are an error.
     """
     dicts = {
         "marca": dictionary(exported, "marca", "ean"),
@@ -176,7 +181,9 @@ def index_rows(exported: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
             f"{name}_idx", F.coalesce(f"{name}_idx", F.lit(-1)).cast("bigint")
         )
     bits = dicts["cadena"].agg(
-        F.map_from_entries(F.collect_list(F.struct("cadena", F.col("bit").cast("int")))).alias("m")
+        F.when(F.count("*") > MOST_CHAINS, F.raise_error(F.lit(f"more than {MOST_CHAINS} chains")))
+        .otherwise(F.map_from_entries(F.collect_list(F.struct("cadena", F.col("bit").cast("int")))))
+        .alias("m")
     )
     masks = df.withColumn("_bits", bits.scalar())
     one = F.lit(1).cast("bigint")
@@ -190,7 +197,7 @@ def index_rows(exported: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     state = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("estado")) - 1
     image = F.coalesce("imagen", F.lit(""))
     cut = F.when(
-        F.startswith(image, F.lit(IMAGE_PREFIX)), F.substring(image, len(IMAGE_PREFIX) + 1, 2000)
+        F.startswith(image, F.lit(IMAGE_PREFIX)), F.substr(image, F.lit(len(IMAGE_PREFIX) + 1))
     ).otherwise(image)
     rows = masks.select(
         "ean", "slug", "nombre", "marca_idx", "categoria_idx",

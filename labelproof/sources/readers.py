@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
@@ -93,8 +93,13 @@ def normalize_prices(raw: DataFrame) -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Tab separated dump with a header, gzip files included."""
-    return spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=False)
+    """Tab separated dump with a header, gzip files included.
+
+    A gzip file is read by one task; its rows are dealt out right behind the read.
+    """
+    rows_ = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=False)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows_.repartition(parts) if path.endswith(".gz") else rows_
 
 
 def tag_list(col: Column) -> Column:
@@ -237,14 +242,37 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corrections(spark: SparkSession, folder: str) -> DataFrame:
-    """Curated files of a folder with their file name; a leading mark is dropped."""
-    raw = spark.read.csv(f"{folder}/*.csv", header=True, multiLine=True, escape='"')
-    named = raw.toDF(*[c.lstrip("﻿").strip('"') for c in raw.columns])
-    return named.select(
-        *[F.col(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in REVIEW_COLUMNS],
-        F.input_file_name().alias("archivo"),
-        F.monotonically_increasing_id().alias("linea"),
-    )
+    """Curated files of a folder, each read by the names in its own header.
+
+    Columns are matched by name whatever their order; a leading mark is dropped;
+    a file without a known header is an error. ``archivo`` is the file, ``linea``
+    the row in it. Files are made by hand, so their number and size are small.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    first = F.regexp_extract(F.decode("content", "UTF-8"), r"\A\x{FEFF}?([^\r\n]*)", 1)
+    by_header: dict[str, list[str]] = {}
+    for row in files.select("path", first.alias("header")).orderBy("path").collect():
+        by_header.setdefault(row["header"], []).append(row["path"])
+    parts = []
+    for header, paths in by_header.items():
+        raw = spark.read.csv(paths, header=True, multiLine=True, escape='"')
+        named = raw.toDF(*[c.lstrip("\ufeff").strip().strip('"') for c in raw.columns])
+        if not {"ean", "estado_corregido"} <= set(named.columns):
+            raise ValueError(f"no known header in {', '.join(paths)}: {header[:200]}")
+        # A file of quoted text isn't split, so ids rise with its lines.
+        parts.append(named.select(
+            *[F.col(f"`{c}`") if c in named.columns else F.lit(None).cast("string").alias(c) for c in REVIEW_COLUMNS],
+            F.col("_metadata.file_path").alias("archivo"),
+            F.monotonically_increasing_id().alias("_id"),
+        ))
+    if not parts:
+        text = ", ".join(f"{c} string" for c in REVIEW_COLUMNS)
+        return spark.createDataFrame([], f"{text}, archivo string, linea long")
+    rows_ = parts[0]
+    for part in parts[1:]:
+        rows_ = rows_.unionByName(part)
+    line = F.row_number().over(Window.partitionBy("archivo").orderBy("_id")).cast("bigint")
+    return rows_.withColumn("linea", line).drop("_id")
 
 
 def check_corrections(raw: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def test_hot_groups_give_the_same_result(spark):
     df = _products(spark)
     for fn in (D.reconcile_duplicates, W.queue):
         plain = sorted(map(str, fn(df).collect()))
-        hot = sorted(map(str, fn(df, hot_rows=2).collect()))
+        hot = sorted(map(str, fn(df, hot_keys=2).collect()))
         assert plain == hot
 
 
