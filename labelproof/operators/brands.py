@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
@@ -72,13 +72,17 @@ def brand_map(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
     The secondary source votes only for brands the primary source does not
     know, but all its spellings resolve. ``n`` counts the rows of a spelling.
+    Both sources are read once, into one table of spellings with their votes.
     """
-    first = primary.withColumn("clave", T.brand_key(F.col("marca"))).filter("clave <> ''")
-    second = secondary.withColumn("clave", T.brand_key(F.col("marca"))).filter("clave <> ''")
-    known = first.select("clave").distinct()
-    voters = first.unionByName(second.join(known, "clave", "left_anti"))
-    chosen = canonical(voters.select("marca", "n"))
-    members = first.unionByName(second).groupBy("clave", "marca").agg(F.sum("n").alias("n"))
+    votes = primary.select("marca", "n", F.col("n").alias("_first")).unionByName(
+        secondary.select("marca", "n", F.lit(None).cast("bigint").alias("_first"))
+    )
+    votes = votes.groupBy("marca").agg(F.sum("n").alias("n"), F.sum("_first").alias("_first"))
+    votes = votes.withColumn("clave", T.brand_key(F.col("marca"))).filter("clave <> ''")
+    known = F.max(F.col("_first").isNotNull()).over(Window.partitionBy("clave"))
+    members = reliable(votes.withColumn("_known", known))
+    voters = members.filter(~F.col("_known") | F.col("_first").isNotNull())
+    chosen = canonical(voters.select("marca", F.when(F.col("_known"), F.col("_first")).otherwise(F.col("n")).alias("n")))
     return members.join(chosen, "clave").select("marca", "canonica", "n")
 
 

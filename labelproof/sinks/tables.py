@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
@@ -18,8 +18,17 @@ def upsert(current: DataFrame | None, incoming: DataFrame, key: list[str], order
     """Table after an upsert: the last write per key wins."""
     both = incoming if current is None else current.unionByName(incoming)
     others = [c for c in both.columns if c not in (*key, *order)]
-    last = both.groupBy(*key).agg(F.max(F.struct(*order, *others)).alias("_last"))
-    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in (*order, *others)])
+    return latest(both, key, [*order, *others]).select(*key, *order, *others)
+
+
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The greatest row of each key in the given order of columns.
+
+    The filter on the row number lets every input task cut a key to one row
+    before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order]))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def merge_newer(existing: DataFrame, incoming: DataFrame, key: str, stamp: str) -> DataFrame:
@@ -29,9 +38,8 @@ def merge_newer(existing: DataFrame, incoming: DataFrame, key: str, stamp: str)
     by their newest. ``accion`` says what happened to each row.
     """
     values = [c for c in existing.columns if c != key]
-    newest = incoming.groupBy(key).agg(
-        F.max(F.struct(stamp, *[c for c in values if c != stamp])).alias("_in")
-    )
+    others = [c for c in values if c != stamp]
+    newest = latest(incoming, [key], [stamp, *others]).select(key, F.struct(stamp, *others).alias("_in"))
     old = existing.select(key, F.struct(*values).alias("_old"))
     joined = old.join(newest, key, "full")
     take = F.col("_in").isNotNull() & (
