@@ -199,7 +199,12 @@ def risk_queue(spark, d):
     return W.queue(products(spark, d), risk=True).select("ean", "nombre", "marca", "peso")
 
 
-@query("sink_review_csv")
+@query(
+    "sink_review_csv",
+    """SELECT ean, nombre, coalesce(marca, '') AS marca, coalesce(categoria, '') AS categoria, estado AS estado_actual,
+      coalesce(motivo, '') AS motivo_actual, substring(coalesce(ingredients_text, ''), 1, 300) AS ingredientes,
+      '' AS estado_corregido, '' AS revisor FROM v_products WHERE estado = 'revisar'""",
+)
 def sink_review_csv(spark, d):
     from labelproof.sinks.tables import review_rows
 

@@ -227,7 +227,13 @@ def _fitted(spark, d):
     return M.fit(parted.filter("entrena").drop("entrena")), parted, rows
 
 
-@query("ml_split")
+# The share of a class that trains is a count; which rows train is a matter of a hash.
+@query(
+    "ml_split",
+    """SELECT estado, entrena, CASE WHEN entrena THEN floor(n * 0.75) ELSE n - floor(n * 0.75) END::BIGINT AS n
+      FROM (SELECT estado, count(*) AS n FROM o_ev WHERE src = 'text' AND estado <> 'revisar' GROUP BY estado),
+      (VALUES (true), (false)) AS s(entrena)""",
+)
 def ml_split(spark, d):
     rows = reliable(labelled(spark, d))
     parted = M.split(rows.filter("estado <> 'revisar'"), "estado", "ean")

@@ -301,7 +301,11 @@ def products(spark, d):
     return rows.withColumn("cadenas", F.split("cadenas", ","))
 
 
-@query("sink_snapshot")
+@query(
+    "sink_snapshot",
+    """SELECT ean, cadena, nullif(ingredientes, '') AS ingredientes, nullif(trazas, '') AS trazas,
+      nullif(sellos, '') AS sellos, CAST(actualizado AS VARCHAR) AS actualizado FROM v_sheet""",
+)
 def sink_snapshot(spark, d):
     sheets = view(spark, d, "v_sheet")
     return S.snapshot(sheets)
