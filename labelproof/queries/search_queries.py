@@ -41,15 +41,11 @@ _ALL = "f_categoria AND f_ingredientes AND f_gondola AND f_registro"
 
 @query(
     "search_filters",
-    f"SELECT q_id, ean FROM o_pair WHERE q = '' AND {_ALL} AND f_veredicto",
+    f"""SELECT q_id, ean, lugar FROM (SELECT q_id, ean, row_number() OVER (PARTITION BY q_id ORDER BY nombre, ean)
+      AS lugar FROM o_pair WHERE q = '' AND {_ALL} AND f_veredicto) WHERE lugar <= 24""",
 )
 def search_filters(spark, d):
-    # A search without text lists what passes the filters; the searches meet the
-    # products on the category key, so a category search reads its category only.
-    bare = asked(spark, d).filter(S.normalize_query(F.col("q_texto")) == "")
-    keyed = bare.withColumn("_key", F.coalesce("q_categoria", F.lit(S.ALL)))
-    rows = products(spark, d).withColumn("_key", F.explode(S.category_keys()))
-    return rows.join(keyed, "_key").filter(S.passes(S.filter_flags())).select("q_id", "ean")
+    return S.filtered_page(products(spark, d), asked(spark, d), S.PAGE_SIZE)
 
 
 @query("search_code", "SELECT q_id, p.ean, nombre FROM o_q JOIN o_p p ON p.ean = q WHERE codigo")
@@ -69,13 +65,14 @@ def search_ranked(spark, d):
 
 @query(
     "search_like",
-    """SELECT q_id, ean, nombre FROM o_q JOIN v_products ON (translate(nombre, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    """SELECT q_id, ean, nombre, lugar FROM (SELECT q_id, ean, nombre, row_number() OVER (PARTITION BY q_id
+      ORDER BY nombre, ean) AS lugar FROM o_q JOIN v_products ON (translate(nombre, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') LIKE '%' || translate(trim(q_texto), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') || '%' OR lower(marca) LIKE '%' || lower(trim(q_texto)) || '%') AND (q_estados IS NULL OR
-      ',' || q_estados || ',' LIKE '%,' || estado || ',%')""",
+      ',' || q_estados || ',' LIKE '%,' || estado || ',%')) WHERE lugar <= 24""",
 )
 def search_like(spark, d):
-    return S.like_search(products(spark, d), asked(spark, d))
+    return S.like_search(products(spark, d), asked(spark, d), S.PAGE_SIZE)
 
 
 @query(
