@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelproof.operators import candidates, model, quality, reconcile, registry, verdict
+from labelproof.operators import candidates, coverage, model, quality, reconcile, registry, verdict
 from labelproof.operators.skew import reliable
 from labelproof.rules.labels import SRC_HUMAN
+from labelproof.sinks import tables
 from labelproof.sources.readers import parse_payload
 
 
@@ -73,13 +76,17 @@ def build_products(
     registered: DataFrame,
     corrections: DataFrame,
     strict_reference: bool = False,
+    judged: DataFrame | None = None,
 ) -> DataFrame:
     """Judged products after duplicates, corrections, chains and purges.
 
     A row that a person corrected is kept even without any other signal;
-    ``strict_reference`` purges it like every other row.
+    ``strict_reference`` purges it like every other row. ``judged`` takes
+    candidates that are judged already.
     """
-    df = product_rows(judged_candidates(catalog, cache, shelf, sheets, registered))
+    if judged is None:
+        judged = judged_candidates(catalog, cache, shelf, sheets, registered)
+    df = product_rows(judged)
     # The evidence is read by the duplicate groups and by their members.
     df = reliable(df)
     df = reconcile.reconcile_duplicates(df)
@@ -94,6 +101,16 @@ def build_products(
     return quality.drop_excluded(df.filter(~phantom), "ean").drop("categories_tags")
 
 
+class Refreshed(NamedTuple):
+    """What a refresh leaves: the table, the model's report, coverage, export and summary."""
+
+    products: DataFrame
+    metrics: DataFrame
+    coverage: DataFrame
+    exported: DataFrame
+    summary: DataFrame
+
+
 def refresh(
     catalog: DataFrame,
     cache: DataFrame,
@@ -101,10 +118,24 @@ def refresh(
     sheets: DataFrame,
     registered: DataFrame,
     corrections: DataFrame,
-) -> DataFrame:
-    """Build the products, train on the evidenced rows and settle unresolved ones."""
+) -> Refreshed:
+    """Build the products, train and measure a model on the evidenced rows, settle unresolved
+    ones with it, and report.
+
+    The model learns from three quarters of each class and is measured on the rest.
+    """
+    judged = reliable(judged_candidates(catalog, cache, shelf, sheets, registered))
     products = reliable(
-        build_products(catalog, cache, shelf, sheets, registered, corrections)
+        build_products(catalog, cache, shelf, sheets, registered, corrections, judged=judged)
+    )
+    parted = reliable(model.split(model.training_set(products), "estado", "ean"))
+    fitted = model.fit(parted.filter("entrena").drop("entrena"))
+    held = model.predict(fitted, parted.filter("NOT entrena"))
+    # The report counts the likeliest class; thresholds only decide what is applied.
+    top = F.array_position("probas", F.array_max("probas")).cast("int") - 1
+    held = held.select("estado", F.get("clases", top).alias("predicho"))
+    settled = reliable(model.apply(fitted, products))
+    exported = tables.export_products(settled)
+    return Refreshed(
+        settled, model.metrics(held), coverage.report(judged), exported, tables.export_summary(exported)
     )
-    fitted = model.fit(model.training_set(products))
-    return model.apply(fitted, products)
