@@ -11,9 +11,9 @@ Groups. Rows of equal sets form a class first (one aggregate on a 128-bit print
 only one representative per class goes on, so copies are never paired. In every band the member
 that meets most others is the hub. Each representative is verified on the full sets against its
 best hub; components follow. Only where members of one band are still in different components
-are they paired, and a pair is left out if lengths or the two distances to a common hub prove
-it below the threshold (Jaccard distance is a metric). So a large group of near copies costs
-one pair per member, and every pair that meets in a band is verified or already connected.
+are they paired, and a pair is left out if lengths, or what both have lost and gained against a
+common hub, prove it below the threshold. So a large group of near copies costs one pair per
+member, and every pair that meets in a band is verified, connected already, or ruled out.
 
 Intermediates are written to the shared folder; joins whose key may be hot are plain shuffle
 joins, whose large partitions adaptive execution splits. Nothing is collected but row counts.
@@ -41,6 +41,8 @@ from labelproof.llm.tokens import Recent
 BANDS = 40
 WIDTH = 5
 COORDINATES = BANDS * WIDTH
+BROADCAST_IDS = 2_000_000
+ALIKE = 0.3
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 SEEDS = (np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -132,31 +134,42 @@ def sketches(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
 
+RESULT = "a long, b long, similarity double, linked boolean, lost int, gained array<long>"
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """`pairs` (a, b) whose full sets have 100 * common >= percent * united; with their similarity."""
+    """`pairs` (a, b) with what their full sets tell.
+
+    similarity; linked: 100 * common >= percent * united; and where the two are alike enough to
+    compare others by it, how many elements of b the set a has lost and hashes of those it gained.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    texts = texts.join(wanted, "doc_id", "left_semi")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct(), "wanted")
+    # Counted, so the list of ids is broadcast only while it is short; texts then stay where they are.
+    few = wanted.count() <= BROADCAST_IDS
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    both = pairs.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text_a", "text_b"))
-            rows, last, right = [], None, set()
+            similar, linked, lost, gained, last, right = [], [], [], [], None, set()
             for i in range(batch.num_rows):
                 left, text = shingles(ta[i].as_py(), size), tb[i].as_py()
                 if text != last:
                     right, last = shingles(text, size), text
                 common = len(left & right)
                 united = len(left) + len(right) - common
-                rows.append((a[i].as_py(), b[i].as_py(), common / united if united else 0.0, 100 * common >= percent * united > 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)]
-                if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.bool_())],
-                ["a", "b", "similarity", "linked"],
-            )
+                similar.append(common / united if united else 0.0)
+                linked.append(100 * common >= percent * united > 0)
+                alike = similar[-1] >= ALIKE
+                lost.append(len(right) - common if alike else None)
+                gained.append([xxhash.xxh3_64_intdigest(b" ".join(g)) - 2**63 for g in left - right] if alike else None)
+            kinds = (pa.float64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()))
+            columns = [pa.array(c, k) for c, k in zip((similar, linked, lost, gained), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, *columns], ["a", "b", "similarity", "linked", "lost", "gained"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double, linked boolean")
+    return both.mapInArrow(run, RESULT)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,39 +207,45 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     keyed = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = written(keyed.join(shared, "band"), "met")
+    # The member that meets most others in its bands, the lowest id of such; then the best that
+    # any member of one's bands has found, so that a group agrees on one hub.
     weight = met.groupBy("rep").agg(F.sum("members").alias("weight"))
-    met = met.join(weight, "rep")
-    # The member that meets most others in its bands; the lowest id of such.
-    hub = F.max(F.struct("weight", (-F.col("rep")).alias("low"), "n_shingles")).alias("hub")
-    hubs = met.groupBy("band").agg(hub)
-    best = (
-        met.join(hubs, "band")
-        .groupBy("rep")
-        .agg(F.max("hub").alias("hub"), F.max("n_shingles").alias("n_shingles"))
-        .select("rep", (-F.col("hub.low")).alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_size"))
-    )
-    stars = best.filter(F.col("rep") != F.col("hub")).filter(_close("n_shingles", "hub_size", percent))
-    tested = written(verified(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), docs, size, percent), "stars")
+    own = F.struct("weight", (-F.col("rep")).alias("low"), F.col("n_shingles").alias("size")).alias("hub")
+    held = met.join(weight, "rep").select("band", "rep", "n_shingles", own)
+    for _ in range(2):
+        top = held.groupBy("band").agg(F.max("hub").alias("hub"))
+        best = held.select("band", "rep").join(top, "band").groupBy("rep").agg(F.max("hub").alias("hub"))
+        held = met.select("band", "rep", "n_shingles").join(best, "rep")
+    best = written(held.groupBy("rep").agg(F.first("hub").alias("hub"), F.first("n_shingles").alias("n_shingles")), "hubs")
+    stars = best.select(F.col("rep").alias("a"), (-F.col("hub.low")).alias("b"), "n_shingles", F.col("hub.size").alias("size"))
+    stars = stars.filter(F.col("a") != F.col("b")).filter(_close("n_shingles", "size", percent))
+    tested = written(verified(stars, docs, size, percent), "stars")
     first = tested.filter("linked")
     connected = components(first)
 
     # Representatives of one band that are still apart.
+    seen = tested.filter(F.col("gained").isNotNull()).select(F.col("a").alias("rep"), F.col("b").alias("hub"), "lost", "gained")
     named = (
         met.select("band", "rep", "n_shingles")
         .join(connected.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(tested.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "similarity"), "rep", "left")
-        .select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"),
-                F.coalesce("hub", "rep").alias("hub"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+        .select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     )
     apart = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    named = written(named.join(apart.select("band"), "band"), "apart")
-    right = named.toDF("band", "rep_b", "n_b", "component_b", "hub_b", "similarity_b")
-    gap = 1 - percent / 100 + 1e-9
+    none = F.array().cast("array<bigint>")
+    named = named.join(apart.select("band"), "band").join(seen, "rep", "left").select(
+        "band", "rep", "n_shingles", "component", F.coalesce("hub", "rep").alias("hub"),
+        F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("gained", none).alias("gained"),
+    )
+    named = written(named, "apart")
+    right = named.toDF("band", "rep_b", "n_b", "component_b", "hub_b", "lost_b", "gained_b")
+    # Sets x and y that lost and gained elements against one hub differ in at least
+    # |gained x| + |gained y| - 2 |gained by both| + ||lost x| - |lost y|| elements, and a link
+    # allows (100 - percent) / (100 + percent) of their summed sizes.
+    most = F.floor((F.col("n_shingles") + F.col("n_b")) * (100 - percent) / (100 + percent) + 1e-9)
+    over = F.size("gained") + F.size("gained_b") + F.abs(F.col("lost") - F.col("lost_b")) - most
+    may_link = (F.col("hub") != F.col("hub_b")) | (over <= 0) | (F.size(F.array_intersect("gained", "gained_b")) * 2 >= over)
     pairs = (
-        named.join(right, "band")
-        .filter(F.col("component") < F.col("component_b"))
-        .filter(_close("n_shingles", "n_b", percent))
-        .filter((F.col("hub") != F.col("hub_b")) | (F.abs(F.col("similarity") - F.col("similarity_b")) <= gap))
+        named.join(right, (named["band"] == right["band"]) & (F.col("component") < F.col("component_b")) & _close("n_shingles", "n_b", percent) & may_link)
         .select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
         .distinct()
     )
