@@ -10,7 +10,10 @@ FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "norm_registry", "ean_normalize", "src_explode_items", "merge_newer_wins", "export_summary",
     "failure_streak_cut", "hierarchy_drilldown", "harvest_queue", "tag_classify",
-    "reconcile_duplicates", "search_rescue", "ml_tfidf", "build_products",
+    "reconcile_duplicates", "search_rescue", "ml_tfidf", "build_products", "upsert_last_wins",
+    "brand_map", "registry_match", "search_fulltext", "search_filters", "search_like",
+    "zero_result_terms", "sink_snapshot", "sink_review_csv", "ml_split", "coverage_band",
+    "corrections_load", "evidence_combine",
 ]
 
 
