@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """doc_id, size of the set, its 128-bit print (null if empty) and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Recent(xxhash.xxh3_64_intdigest, 1_000_000)
+        memory = Recent(xxhash.xxh3_64_intdigest, 200_000)
         for batch in batches:
             sizes, prints, keys = [], [], []
             for value in batch.column(1):

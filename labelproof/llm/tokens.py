@@ -46,7 +46,7 @@ class Recent(dict):
 class Pieces:
     """Encoder and decoder of one vocabulary file. Ids are packed as 32-bit little-endian integers."""
 
-    def __init__(self, path: str, limit: int = 500_000, units: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000, units: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

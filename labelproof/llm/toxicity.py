@@ -113,7 +113,7 @@ class Automaton:
 
     def find(self, word: str) -> tuple[int, int] | None:
         state, best, steps = self.start, None, self.steps
-        if len(steps) > 300_000:
+        if len(steps) > 50_000:
             steps.clear()
         for c in word:
             step = steps.get((state, c))
@@ -134,7 +134,7 @@ class Automaton:
 class Found(dict):
     """Word -> hit, remembered up to a bound."""
 
-    def __init__(self, automaton: Automaton, limit: int = 400_000):
+    def __init__(self, automaton: Automaton, limit: int = 200_000):
         self.automaton, self.limit = automaton, limit
 
     def __missing__(self, word: str):
