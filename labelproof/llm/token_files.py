@@ -7,7 +7,7 @@ the same length, so sequence n is row n % ROWS of batch n // ROWS, reached throu
 footer without decoding anything before it. `shard-N.docs.arrow` beside it lists the
 documents of the shard in order.
 
-Rows are split by ranges of doc_id (ties by text), so the shards in order hold all documents
+Rows are split by ranges of doc_id (ties by a hash of the text), so the shards in order hold all documents
 in ascending order, and a hot id's rows may share a shard but no group is gathered. Text is
 encoded after that shuffle, row by row. A task writes its files under names of its own and
 reports them; only reported files belong to the set, so a lost executor's leftovers are never
@@ -130,8 +130,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1, length: int
             {"shard": [shard], "path": [name], "tokens": [writer.tokens], "documents": [len(ids_of)]}
         )
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # The range bounds are sampled on the driver, so their key is short: the text's hash orders ties.
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered = ordered.select("doc_id", "text")
     found = sorted((r.asDict() for r in ordered.mapInArrow(run, SHARD).collect()), key=lambda r: r["shard"])
     start = 0
     for entry in found:
