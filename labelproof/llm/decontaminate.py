@@ -6,8 +6,10 @@ and joined with those of the benchmark items, so a question met again with other
 names still meets its template. Windows made of placeholders for more than half don't count.
 An item is met when `SHARE` percent of its windows, or as many as a run of 50 words has, are
 found in one document. Where windows hold slots, one value of the item must stand for one value
-of the document throughout (a re-parameterised question substitutes consistently); if it
-doesn't, only the windows without slots count.
+of the document throughout one occurrence (a re-parameterised question substitutes consistently);
+where it doesn't, only the windows without slots count. An occurrence is what lies at one distance
+between document place and item place, give or take four; one that is consistent and enough is
+sufficient, whatever other variants the document holds.
 
 Only built-in functions are used. Document windows stream past the item windows, which are
 broadcast only if their counted number is within `BROADCAST_ROWS`; otherwise both sides are
@@ -21,7 +23,7 @@ empty table on either side gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelproof.llm.common import written
@@ -66,10 +68,11 @@ def canonical(raw: str) -> Column:
     return F.array_remove(F.transform(raw, one), "")
 
 
-def templates(table: DataFrame, key: str, text: str) -> DataFrame:
-    """key, the token column and the template column."""
-    named = table.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
-    return named.select(key, raw_tokens(F.col("__text")).alias("raw")).withColumn("tokens", canonical("raw"))
+def templates(table: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """key, the words and the template column, place by place."""
+    named = table.select(F.col(key).cast("long").alias(key), *keep, raw_tokens(F.col(text)).alias("raw"))
+    words = F.filter("raw", lambda t: ~t.isin(*ENDS))
+    return named.select(key, *keep, "raw", words.alias("words"), canonical("raw").alias("tokens"))
 
 
 def windows(tokens: str, size: int) -> Column:
@@ -84,86 +87,101 @@ def windows(tokens: str, size: int) -> Column:
     return F.transform(F.slice(tokens, F.lit(1), count), one)
 
 
-def _exploded(table: DataFrame, size: int, *keep: str) -> DataFrame:
-    return table.select(*keep, F.posexplode(windows("tokens", size)).alias("at", "hash")).filter(F.col("hash").isNotNull())
-
-
-def item_windows(benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """item_id, size, at, hash, the number of windows of the item and its slots in the window."""
-    items = written(templates(benchmark, "item_id", text).filter(F.size("tokens") > 0), "items")
-    items = items.withColumn("size", F.least(F.size("tokens"), F.lit(size)))
-    lengths = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `size` values
-    parts = []
-    for n in lengths:
-        own = items.filter(F.col("size") == n).withColumn("values", F.filter("raw", lambda t: ~t.isin(*ENDS)))
-        placed = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.startswith("#").alias("slot"), F.get("values", i).alias("value")))
-        rows = own.withColumn("placed", placed).select(
-            "item_id", "size", "placed", F.posexplode(windows("tokens", n)).alias("at", "hash")
-        ).filter(F.col("hash").isNotNull())
-        slots = F.filter(F.slice("placed", F.col("at") + 1, n), lambda x: x["slot"])
-        slots = F.transform(slots, lambda x: F.struct((x["place"] - F.col("at")).alias("offset"), x["value"].alias("value")))
-        parts.append(rows.select("item_id", "size", "at", "hash", slots.alias("slots")))
-    if not parts:
-        none = "item_id long, size int, at int, hash long, slots array<struct<offset:int,value:string>>, windows long"
-        return benchmark.sparkSession.createDataFrame([], none)
-    rows = parts[0]
+def _items(benchmark: DataFrame, text: str) -> DataFrame:
+    """One row per item with a token: its row hash, words, slots, window size and window hashes."""
+    rows = templates(benchmark.withColumn("__row", F.xxhash64(F.col("item_id").cast("long"), text)), "item_id", text, "__row")
+    rows = written(rows.filter(F.size("tokens") > 0).dropDuplicates(["__row"]), "items")
+    rows = rows.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
+    lengths = sorted(r["size"] for r in rows.select("size").distinct().collect()) or [WINDOW]  # at most `WINDOW` values
+    parts = [rows.filter(F.col("size") == n).withColumn("hashes", windows("tokens", n)) for n in lengths]
+    whole = parts[0]
     for part in parts[1:]:
-        rows = rows.union(part)
-    total = rows.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
-    return written(rows.join(total, "item_id"), "item-windows")
+        whole = whole.union(part)
+    return written(
+        whole.select(
+            "item_id", F.col("__row").alias("item_row"), F.col("words").alias("item_words"), "hashes", "size",
+            F.size("tokens").alias("length"), F.size(F.filter("hashes", lambda h: h.isNotNull())).alias("windows"),
+            F.transform("tokens", lambda t: t.startswith("#")).alias("slots"),
+        ),
+        "item-windows",
+    )
+
+
+def _runs(met: DataFrame, kind: str) -> DataFrame:
+    """Hits whose places follow one another at one distance between document and item, joined."""
+    along = Window.partitionBy("row", "item_row", "offset").orderBy("place")
+    lane = ["doc_id", "row", "item_id", "item_row", "offset"]
+    rows = met.withColumn("island", F.col("place") - F.row_number().over(along)).groupBy(*lane, "island")
+    rows = rows.agg(F.min("place").alias("first"), (F.max("place") + F.first("size") - 1).alias("last"))
+    return rows.drop("island").withColumn("kind", F.lit(kind))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = SHARE) -> DataFrame:
     """doc_id, item_id, windows of the item, how many are met, distinct slot values, and consistent."""
-    items = item_windows(benchmark)
-    known = [r["size"] for r in items.select("size").distinct().collect()]
-    few = items.count() <= BROADCAST_ROWS
-    keys = items.select("hash", "size", "item_id", F.col("at").alias("place"), "windows", (F.size("slots") > 0).alias("slotted"))
-    shaped = templates(docs, "doc_id", text)
+    items = _items(benchmark, text)
+    known = sorted(r["size"] for r in items.select("size").distinct().collect())
+    keys = items.select("item_id", "item_row", "size", F.posexplode("hashes").alias("place", "hash"), F.col("slots"))
+    keys = keys.filter(F.col("hash").isNotNull()).withColumn("plain", ~F.array_contains(F.slice("slots", F.col("place") + 1, F.col("size")), True)).drop("slots")
+    keys = written(keys, "item-keys")
+    few = keys.count() <= BROADCAST_ROWS
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shaped = templates(named.withColumn("row", F.xxhash64("doc_id", "text")), "doc_id", "text", "row")
     hits = None
     for n in known or [WINDOW]:
         own = keys.filter(F.col("size") == n)
-        part = _exploded(shaped, n, "doc_id").join(F.broadcast(own) if few else own, "hash")
+        part = shaped.select("doc_id", "row", F.posexplode(windows("tokens", n)).alias("at", "hash")).filter(F.col("hash").isNotNull())
+        part = part.join(F.broadcast(own) if few else own, "hash")
         hits = part if hits is None else hits.union(part)
-    # One row per window of the item; the places where it stands in the document follow below.
-    met = hits.groupBy("doc_id", "item_id", "windows", "place", "slotted").agg(F.count("*").alias("n"))
+    met = hits.groupBy("doc_id", "row", "item_id", "item_row", "size", (F.col("at") - F.col("place")).alias("offset"), "place")
+    met = written(met.agg(F.max("plain").alias("plain")), "met")
+    runs = _runs(met, "any").union(_runs(met.filter("plain"), "plain"))
+    about = items.select("item_row", "length", "windows", "item_words", "slots", F.least(F.col("length"), F.lit(WINDOW)).alias("span"))
     enough = lambda c: (F.col(c) * 100 >= F.col("windows") * share) | (F.col(c) >= RUN)
-    pairs = written(
-        met.groupBy("doc_id", "item_id", "windows")
-        .agg(F.count("*").alias("matched"), F.sum((~F.col("slotted")).cast("long")).alias("literal"))
-        .filter(enough("matched")),
-        "met",
-    )
 
-    # Slot values of the pairs that have any: the texts of those documents only.
-    slotted = pairs.filter("literal < matched").select("doc_id", "item_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    of_docs = slotted.select("doc_id").distinct()
-    texts = texts.join(of_docs, texts["doc_id"].eqNullSafe(of_docs["doc_id"]), "left_semi")
-    again = templates(texts, "doc_id", "text").withColumn("values", F.filter("raw", lambda t: ~t.isin(*ENDS)))
-    values = None
-    for n in known or [WINDOW]:
-        own = items.filter((F.col("size") == n) & (F.size("slots") > 0)).select("hash", "item_id", "slots")
-        placed = again.select(
-            "doc_id", F.posexplode(F.transform(windows("tokens", n), lambda h, i: F.struct(h.alias("hash"), F.slice("values", i + 1, n).alias("values")))).alias("at", "window")
-        ).select("doc_id", F.col("window.hash").alias("hash"), F.col("window.values").alias("values"))
-        part = placed.join(own, "hash").select(
-            "doc_id", "item_id",
-            F.explode(F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get("values", s["offset"]).alias("doc_value")))).alias("pair"),
-        )
-        values = part if values is None else values.union(part)
-    values = values.select("doc_id", "item_id", "pair.item_value", "pair.doc_value").distinct()
-    mapped = values.groupBy("doc_id", "item_id", "item_value").agg(F.count("*").alias("n"))
-    mapped = mapped.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slot_values"), (F.max("n") <= 1).alias("consistent"))
-    both = pairs["doc_id"].eqNullSafe(mapped["doc_id"]) & pairs["item_id"].eqNullSafe(mapped["item_id"])
-    joined = pairs.join(mapped, both, "left").select(
-        pairs["doc_id"], pairs["item_id"], "windows", "matched", "literal",
-        F.coalesce("slot_values", F.lit(0)).cast("long").alias("slot_values"),
-        F.coalesce("consistent", F.lit(True)).alias("consistent"),
+    # The tokens of the runs, in documents whose runs could be enough together; only their texts are read again.
+    runs = written(runs.join(about.select("item_row", "windows", "span"), "item_row"), "runs")
+    could = runs.filter("kind = 'any'").groupBy("doc_id", "item_row", "windows")
+    could = could.agg(F.sum(F.col("last") - F.col("first") + 2 - F.col("span")).alias("matched")).filter(enough("matched"))
+    could = could.select(F.col("doc_id").alias("could_doc"), F.col("item_row").alias("could_row"))
+    both = runs["doc_id"].eqNullSafe(could["could_doc"]) & (runs["item_row"] == could["could_row"])
+    runs = written(runs.drop("windows", "span").join(could, both, "left_semi"), "could")
+    again = named.withColumn("row", F.xxhash64("doc_id", "text")).join(runs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    again = templates(again, "doc_id", "text", "row").select("row", "words")
+
+    def token(j: Column) -> Column:
+        slot, item, doc = F.get("slots", j), F.get("item_words", j), F.get("words", j + F.col("offset"))
+        return F.struct(j.alias("j"), F.when(slot, item).alias("item_value"), F.when(slot, doc).alias("doc_value"))
+
+    tokens = runs.join(about, "item_row").join(again, "row").select(
+        "doc_id", "row", "item_id", "item_row", "kind", "offset", "last", "length", "windows", "span",
+        F.explode(F.transform(F.sequence("first", "last"), token)).alias("token"),
+    )
+    # An occurrence lies at one distance, or within 4 of it where words were put in or left out: each
+    # such stretch lies within one band of 8 of the two sets. The whole document is looked at as before.
+    lane = lambda name, row, at: F.struct(F.lit(name).alias("lane"), row.alias("part"), at.cast("long").alias("band"))
+    lanes = F.array(
+        lane("whole", F.lit(0).cast("long"), F.lit(0)),
+        lane("exact", F.col("row"), F.col("offset")),
+        lane("near", F.col("row"), F.floor(F.col("offset") / 8)),
+        lane("half", F.col("row"), F.floor((F.col("offset") + 4) / 8)),
+    )
+    tokens = tokens.withColumn("lane", F.explode(lanes))
+    groups = tokens.groupBy("doc_id", "item_id", "item_row", "length", "windows", "kind", "lane").agg(
+        F.countDistinct(F.when(F.col("token.j") + F.col("span") - 1 <= F.col("last"), F.col("token.j"))).alias("matched"),
+        F.countDistinct("token.item_value").alias("item_values"),
+        F.countDistinct("token.item_value", "token.doc_value").alias("slot_values"),
+    )
+    exact = F.col("kind") == "plain"
+    passed = (exact | (F.col("item_values") == F.col("slot_values"))) & enough("matched")
+    rank = F.when(~exact, 2).otherwise(0) + (F.col("lane.lane") == "whole").cast("int")
+    best = groups.withColumn("rank", F.when(passed, rank)).groupBy("doc_id", "item_id").agg(
+        F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", "matched", "windows", "slot_values"))).alias("best"),
+        F.max(F.when(~exact & (F.col("lane.lane") == "whole"), F.col("slot_values"))).alias("all_values"),
     )
-    return joined.filter(F.col("consistent") | enough("literal")).select(
-        "doc_id", "item_id", "windows", F.when(F.col("consistent"), F.col("matched")).otherwise(F.col("literal")).alias("matched"),
-        "slot_values", "consistent",
+    return best.filter(F.col("best").isNotNull()).select(
+        "doc_id", "item_id", F.col("best.windows").cast("long").alias("windows"), F.col("best.matched").alias("matched"),
+        F.when(F.col("best.rank") >= 2, F.col("best.slot_values")).otherwise(F.col("all_values")).alias("slot_values"),
+        (F.col("best.rank") >= 2).alias("consistent"),
     )
 
 

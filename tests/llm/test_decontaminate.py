@@ -49,3 +49,11 @@ def test_only_built_in_functions(spark, docs):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     plan = decontaminate.contaminated(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    changed = ITEM.replace("Miller", "Smith").replace("12", "45").replace("30", "77").replace("Baker", "Weaver")
+    mixed = changed.replace("gave 45", "gave 46")
+    drill = "the child has 4 red apples in a bag and the child has 9 red apples in a bag"
+    got = pairs(spark, [f"{ITEM} {changed}", f"{ITEM} Then the farmer Cook sold 9 kg of apples to his neighbour Fox", drill, f"{mixed} {mixed}"], [(7, ITEM), (8, drill)])
+    assert set(got) == {(0, 7), (1, 7), (2, 8)} and all(r["consistent"] and r["matched"] == r["windows"] for r in got.values())
