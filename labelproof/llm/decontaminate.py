@@ -3,7 +3,9 @@
 A text becomes a list of tokens in which numbers, units behind a number and names inside a
 sentence are typed placeholders and all else is lower case. Windows of `WINDOW` tokens are hashed
 and joined with those of the benchmark items, so a question met again with other numbers or
-names still meets its template. Windows made of placeholders for more than half don't count.
+names still meets its template; windows of the plain lower-case words are joined as well, so a
+copy in other case meets itself. A line end may or may not end a sentence: both templates are
+joined. Windows made of placeholders for more than half don't count.
 An item is met when `SHARE` percent of its windows, or as many as a run of 50 words has, are
 found in one document. Where windows hold slots, one value of the item must stand for one value
 of the document throughout one occurrence (a re-parameterised question substitutes consistently);
@@ -51,11 +53,16 @@ def _digit(token: Column) -> Column:
     return (token >= "0") & (token < ":")
 
 
-def canonical(raw: str) -> Column:
-    """The template of the token column `raw`: sentence ends go, placeholders come."""
+def canonical(raw: str, wrapped: bool = False) -> Column:
+    """The template of the token column `raw`: sentence ends go, placeholders come.
+
+    `wrapped` looks through one line end, which then ends no sentence; an empty line still does.
+    """
 
     def one(t: Column, i: Column) -> Column:
         before = F.get(raw, i - 1)
+        if wrapped:
+            before = F.when(before == "\n", F.get(raw, i - 2)).otherwise(before)
         name = t.rlike(r"^\p{Lu}\p{Ll}+$") & before.isNotNull() & ~F.coalesce(before, F.lit("")).isin(*ENDS)
         return (
             F.when(t.isin(*ENDS), F.lit(""))
@@ -69,42 +76,64 @@ def canonical(raw: str) -> Column:
 
 
 def templates(table: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """key, the words and the template column, place by place."""
+    """key, the words and the three forms of the text, place by place: template, its form where lines
+    are only wrapped, and plain lower case."""
     named = table.select(F.col(key).cast("long").alias(key), *keep, raw_tokens(F.col(text)).alias("raw"))
     words = F.filter("raw", lambda t: ~t.isin(*ENDS))
-    return named.select(key, *keep, "raw", words.alias("words"), canonical("raw").alias("tokens"))
+    named = named.select(key, *keep, "raw", words.alias("words"), F.array_contains("raw", "\n").alias("lines"))
+    lower = F.transform("words", lambda t: F.lower(t))
+    wrapped = F.when(F.col("lines"), canonical("raw", wrapped=True)).otherwise(F.array().cast("array<string>"))
+    return named.select("*", canonical("raw").alias("tokens"), wrapped.alias("wrapped"), lower.alias("lower"))
 
 
-def windows(tokens: str, size: int) -> Column:
-    """Hash of the window at every place; null for one that is mostly placeholders."""
+def windows(size: int) -> Column:
+    """The hashes of the window at every place: plain, template and, where there are lines, wrapped template."""
 
     def one(_: Column, i: Column) -> Column:
-        parts = [F.get(tokens, i + k) for k in range(size)]
-        held = sum((p.startswith("#").cast("int") for p in parts[1:]), parts[0].startswith("#").cast("int"))
-        return F.when(held * 2 <= size, F.xxhash64(*parts))
+        cut = lambda c: F.slice(c, i + 1, size)
+        held = lambda c: F.size(F.filter(cut(c), lambda t: t.startswith("#")))
+        lines = F.col("lines")
+        return F.struct(
+            F.xxhash64(cut("lower")).alias("plain"), F.xxhash64(cut("tokens")).alias("template"), held("tokens").alias("held"),
+            F.when(lines, F.xxhash64(cut("wrapped"))).alias("wrapped"), F.when(lines, held("wrapped")).alias("wrapped_held"),
+        )
+
+    count = F.greatest(F.least(F.size("tokens"), F.size("lower")) - (size - 1), F.lit(0))
+    # Both sizes of `wrapped` are read here so that no step is moved into the lambda.
+    count = F.when(F.col("lines") & (F.size("wrapped") < 0), 0).otherwise(count)
+    return F.transform(F.slice("lower", F.lit(1), count), one)
 
-    count = F.greatest(F.size(tokens) - (size - 1), F.lit(0))
-    return F.transform(F.slice(tokens, F.lit(1), count), one)
+
+def _hashed(table: DataFrame, size: int, *keep: str) -> DataFrame:
+    """keep, place and hash: a row for each different form of a window that isn't mostly placeholders."""
+    rows = table.select(*keep, F.posexplode(windows(size)).alias("at", "w")).select(*keep, "at", "w.*")
+    forms = F.array(
+        F.when(F.col("held") * 2 <= size, F.col("plain")),
+        F.when(F.col("held") * 2 <= size, F.col("template")),
+        F.when(F.col("wrapped_held") * 2 <= size, F.col("wrapped")),
+    )
+    rows = rows.withColumn("hash", F.explode(F.array_distinct(forms))).filter(F.col("hash").isNotNull())
+    return rows.select(*keep, "at", "hash", (F.col("hash") == F.col("plain")).alias("literal"))
 
 
-def _items(benchmark: DataFrame, text: str) -> DataFrame:
-    """One row per item with a token: its row hash, words, slots, window size and window hashes."""
-    rows = templates(benchmark.withColumn("__row", F.xxhash64(F.col("item_id").cast("long"), text)), "item_id", text, "__row")
-    rows = written(rows.filter(F.size("tokens") > 0).dropDuplicates(["__row"]), "items")
+def _items(benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """One row per item with a token (row hash, words, slots, windows); and its window hashes by place."""
+    rows = templates(benchmark.withColumn("item_row", F.xxhash64(F.col("item_id").cast("long"), text)), "item_id", text, "item_row")
+    rows = written(rows.filter(F.size("tokens") > 0).dropDuplicates(["item_row"]), "items")
     rows = rows.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
     lengths = sorted(r["size"] for r in rows.select("size").distinct().collect()) or [WINDOW]  # at most `WINDOW` values
-    parts = [rows.filter(F.col("size") == n).withColumn("hashes", windows("tokens", n)) for n in lengths]
-    whole = parts[0]
+    parts = [_hashed(rows.filter(F.col("size") == n), n, "item_id", "item_row", "size") for n in lengths]
+    keys = parts[0]
     for part in parts[1:]:
-        whole = whole.union(part)
-    return written(
-        whole.select(
-            "item_id", F.col("__row").alias("item_row"), F.col("words").alias("item_words"), "hashes", "size",
-            F.size("tokens").alias("length"), F.size(F.filter("hashes", lambda h: h.isNotNull())).alias("windows"),
-            F.transform("tokens", lambda t: t.startswith("#")).alias("slots"),
-        ),
-        "item-windows",
+        keys = keys.union(part)
+    keys = written(keys.withColumnRenamed("at", "place"), "item-keys")
+    total = keys.groupBy("item_row").agg(F.countDistinct("place").alias("windows"))
+    held = lambda c: F.transform(c, lambda t: t.startswith("#"))
+    rows = rows.join(total, "item_row").select(
+        "item_row", F.col("lower").alias("item_words"), "size", F.size("tokens").alias("length"), "windows",
+        held("tokens").alias("slots"), held("wrapped").alias("wrapped_slots"),
     )
+    return written(rows, "item-windows"), keys
 
 
 def _runs(met: DataFrame, kind: str) -> DataFrame:
@@ -118,24 +147,20 @@ def _runs(met: DataFrame, kind: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = SHARE) -> DataFrame:
     """doc_id, item_id, windows of the item, how many are met, distinct slot values, and consistent."""
-    items = _items(benchmark, text)
+    items, keys = _items(benchmark, text)
     known = sorted(r["size"] for r in items.select("size").distinct().collect())
-    keys = items.select("item_id", "item_row", "size", F.posexplode("hashes").alias("place", "hash"), F.col("slots"))
-    keys = keys.filter(F.col("hash").isNotNull()).withColumn("plain", ~F.array_contains(F.slice("slots", F.col("place") + 1, F.col("size")), True)).drop("slots")
-    keys = written(keys, "item-keys")
     few = keys.count() <= BROADCAST_ROWS
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     shaped = templates(named.withColumn("row", F.xxhash64("doc_id", "text")), "doc_id", "text", "row")
     hits = None
     for n in known or [WINDOW]:
         own = keys.filter(F.col("size") == n)
-        part = shaped.select("doc_id", "row", F.posexplode(windows("tokens", n)).alias("at", "hash")).filter(F.col("hash").isNotNull())
-        part = part.join(F.broadcast(own) if few else own, "hash")
+        part = _hashed(shaped, n, "doc_id", "row").drop("literal").join(F.broadcast(own) if few else own, "hash")
         hits = part if hits is None else hits.union(part)
     met = hits.groupBy("doc_id", "row", "item_id", "item_row", "size", (F.col("at") - F.col("place")).alias("offset"), "place")
-    met = written(met.agg(F.max("plain").alias("plain")), "met")
-    runs = _runs(met, "any").union(_runs(met.filter("plain"), "plain"))
-    about = items.select("item_row", "length", "windows", "item_words", "slots", F.least(F.col("length"), F.lit(WINDOW)).alias("span"))
+    met = written(met.agg(F.max("literal").alias("literal")), "met")
+    runs = _runs(met, "any").union(_runs(met.filter("literal"), "plain"))
+    about = items.select("item_row", "length", "windows", "item_words", "slots", "wrapped_slots", F.least(F.col("length"), F.lit(WINDOW)).alias("span"))
     enough = lambda c: (F.col(c) * 100 >= F.col("windows") * share) | (F.col(c) >= RUN)
 
     # The tokens of the runs, in documents whose runs could be enough together; only their texts are read again.
@@ -146,10 +171,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", shar
     both = runs["doc_id"].eqNullSafe(could["could_doc"]) & (runs["item_row"] == could["could_row"])
     runs = written(runs.drop("windows", "span").join(could, both, "left_semi"), "could")
     again = named.withColumn("row", F.xxhash64("doc_id", "text")).join(runs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    again = templates(again, "doc_id", "text", "row").select("row", "words")
+    again = templates(again, "doc_id", "text", "row").select("row", F.col("lower").alias("words"))
 
     def token(j: Column) -> Column:
-        slot, item, doc = F.get("slots", j), F.get("item_words", j), F.get("words", j + F.col("offset"))
+        item, doc = F.get("item_words", j), F.get("words", j + F.col("offset"))
+        slot = F.get("slots", j) | (F.coalesce(F.get("wrapped_slots", j), F.lit(False)) & (item != doc))
         return F.struct(j.alias("j"), F.when(slot, item).alias("item_value"), F.when(slot, doc).alias("doc_value"))
 
     tokens = runs.join(about, "item_row").join(again, "row").select(

@@ -57,3 +57,10 @@ def test_each_occurrence_is_judged_by_itself(spark):
     drill = "the child has 4 red apples in a bag and the child has 9 red apples in a bag"
     got = pairs(spark, [f"{ITEM} {changed}", f"{ITEM} Then the farmer Cook sold 9 kg of apples to his neighbour Fox", drill, f"{mixed} {mixed}"], [(7, ITEM), (8, drill)])
     assert set(got) == {(0, 7), (1, 7), (2, 8)} and all(r["consistent"] and r["matched"] == r["windows"] for r in got.values())
+
+
+def test_other_case_and_other_line_ends(spark):
+    changed = ITEM.replace("Miller", "Smith").replace("12", "45").replace("30", "77").replace("Baker", "Weaver")
+    wrapped = [t.replace("farmer ", "farmer\n").replace("neighbour ", "neighbour\n").replace("of ", "of\n") for t in (ITEM, changed)]
+    got = pairs(spark, [f"x {ITEM.lower()} y", f"x {ITEM.upper()} y", *wrapped, f"Question:\n{changed}"], [(7, ITEM)])
+    assert set(got) == {(i, 7) for i in range(5)}
