@@ -5,7 +5,7 @@ sentence are typed placeholders and all else is lower case. Windows of `WINDOW`
 and joined with those of the benchmark items, so a question met again with other numbers or
 names still meets its template; windows of the plain lower-case words are joined as well, so a
 copy in other case meets itself. A line end may or may not end a sentence: both templates are
-joined. Windows made of placeholders for more than half don't count.
+joined. Windows made of placeholders for more than half count in their plain form only.
 An item is met when `SHARE` percent of its windows, or as many as a run of 50 words has, are
 found in one document. Where windows hold slots, one value of the item must stand for one value
 of the document throughout one occurrence (a re-parameterised question substitutes consistently);
@@ -105,10 +105,10 @@ def windows(size: int) -> Column:
 
 
 def _hashed(table: DataFrame, size: int, *keep: str) -> DataFrame:
-    """keep, place and hash: a row for each different form of a window that isn't mostly placeholders."""
+    """keep, place and hash: a row for each different form of a window; one mostly of placeholders is plain only."""
     rows = table.select(*keep, F.posexplode(windows(size)).alias("at", "w")).select(*keep, "at", "w.*")
     forms = F.array(
-        F.when(F.col("held") * 2 <= size, F.col("plain")),
+        F.col("plain"),
         F.when(F.col("held") * 2 <= size, F.col("template")),
         F.when(F.col("wrapped_held") * 2 <= size, F.col("wrapped")),
     )

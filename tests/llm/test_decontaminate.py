@@ -64,3 +64,9 @@ def test_other_case_and_other_line_ends(spark):
     wrapped = [t.replace("farmer ", "farmer\n").replace("neighbour ", "neighbour\n").replace("of ", "of\n") for t in (ITEM, changed)]
     got = pairs(spark, [f"x {ITEM.lower()} y", f"x {ITEM.upper()} y", *wrapped, f"Question:\n{changed}"], [(7, ITEM)])
     assert set(got) == {(i, 7) for i in range(5)}
+
+
+def test_items_of_numbers_and_names_meet_their_copies(spark):
+    numbers, names = "3 5 8 12 17 23 30 38 47", "Present were Miller Baker Smith Weaver Cook Fox Carter Mason and Turner"
+    got = pairs(spark, [f"the sequence {numbers} goes on", names, numbers.replace("3 5", "4 6").replace("17", "18")], [(7, numbers), (8, names)])
+    assert set(got) == {(0, 7), (1, 8)} and all(r["matched"] == r["windows"] for r in got.values())
