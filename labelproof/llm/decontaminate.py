@@ -6,8 +6,10 @@ and joined with those of the benchmark items, so a question met again with other
 names still meets its template; windows of the plain lower-case words are joined as well, so a
 copy in other case meets itself. A line end may or may not end a sentence: both templates are
 joined. Windows made of placeholders for more than half count in their plain form only.
-An item is met when `SHARE` percent of its windows, or as many as a run of 50 words has, are
-found in one document. Where windows hold slots, one value of the item must stand for one value
+Hits of `SEED` tokens are joined into runs. An item is met when an occurrence covers as many of its
+tokens as a run of `SHARE` percent of its windows of `WINDOW` has, or `RUN_TOKENS` in one run, or
+when `SHARE` percent of these windows, or as many as a run of 50 words has, are found anywhere in
+one document; `windows` and `matched` count windows of `WINDOW`. Where windows hold slots, one value of the item must stand for one value
 of the document throughout one occurrence (a re-parameterised question substitutes consistently);
 where it doesn't, only the windows without slots count. An occurrence is what lies at one distance
 between document place and item place, give or take four; one that is consistent and enough is
@@ -34,6 +36,11 @@ WINDOW = 8
 SHARE = 50
 RUN = 50 - WINDOW + 1
 BROADCAST_ROWS = 500_000
+# Hits are windows of `SEED` tokens, of which `SEED_HELD` may be placeholders; any window of `WINDOW`
+# that may be met is made of such. `RUN_TOKENS` met one after another are enough in any item.
+SEED = 5
+SEED_HELD = 4
+RUN_TOKENS = 21
 # Sentence ends are tokens while names are told from sentence starts.
 TOKEN = r"[\p{L}\p{N}]+|[.!?\n]"
 ENDS = (".", "!", "?", "\n")
@@ -104,13 +111,17 @@ def windows(size: int) -> Column:
     return F.transform(F.slice("lower", F.lit(1), count), one)
 
 
-def _hashed(table: DataFrame, size: int, *keep: str) -> DataFrame:
-    """keep, place and hash: a row for each different form of a window; one mostly of placeholders is plain only."""
+def _hashed(table: DataFrame, span: int, *keep: str) -> DataFrame:
+    """keep, place and hash: a row for each different form of a window; one mostly of placeholders is plain only.
+
+    `span` is `WINDOW`, or the length of shorter items, which are met whole.
+    """
+    size, most = (SEED, SEED_HELD) if span == WINDOW else (span, span // 2)
     rows = table.select(*keep, F.posexplode(windows(size)).alias("at", "w")).select(*keep, "at", "w.*")
     forms = F.array(
         F.col("plain"),
-        F.when(F.col("held") * 2 <= size, F.col("template")),
-        F.when(F.col("wrapped_held") * 2 <= size, F.col("wrapped")),
+        F.when(F.col("held") <= most, F.col("template")),
+        F.when(F.col("wrapped_held") <= most, F.col("wrapped")),
     )
     rows = rows.withColumn("hash", F.explode(F.array_distinct(forms))).filter(F.col("hash").isNotNull())
     return rows.select(*keep, "at", "hash", (F.col("hash") == F.col("plain")).alias("literal"))
@@ -120,17 +131,16 @@ def _items(benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """One row per item with a token (row hash, words, slots, windows); and its window hashes by place."""
     rows = templates(benchmark.withColumn("item_row", F.xxhash64(F.col("item_id").cast("long"), text)), "item_id", text, "item_row")
     rows = written(rows.filter(F.size("tokens") > 0).dropDuplicates(["item_row"]), "items")
-    rows = rows.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    lengths = sorted(r["size"] for r in rows.select("size").distinct().collect()) or [WINDOW]  # at most `WINDOW` values
-    parts = [_hashed(rows.filter(F.col("size") == n), n, "item_id", "item_row", "size") for n in lengths]
+    rows = rows.withColumn("span", F.least(F.size("tokens"), F.lit(WINDOW)))
+    spans = sorted(r["span"] for r in rows.select("span").distinct().collect()) or [WINDOW]  # at most `WINDOW` values
+    parts = [_hashed(rows.filter(F.col("span") == n), n, "item_id", "item_row", "span") for n in spans]
     keys = parts[0]
     for part in parts[1:]:
         keys = keys.union(part)
     keys = written(keys.withColumnRenamed("at", "place"), "item-keys")
-    total = keys.groupBy("item_row").agg(F.countDistinct("place").alias("windows"))
     held = lambda c: F.transform(c, lambda t: t.startswith("#"))
-    rows = rows.join(total, "item_row").select(
-        "item_row", F.col("lower").alias("item_words"), "size", F.size("tokens").alias("length"), "windows",
+    rows = rows.select(
+        "item_row", F.col("lower").alias("item_words"), "span", (F.size("tokens") - F.col("span") + 1).alias("windows"),
         held("tokens").alias("slots"), held("wrapped").alias("wrapped_slots"),
     )
     return written(rows, "item-windows"), keys
@@ -141,32 +151,33 @@ def _runs(met: DataFrame, kind: str) -> DataFrame:
     along = Window.partitionBy("row", "item_row", "offset").orderBy("place")
     lane = ["doc_id", "row", "item_id", "item_row", "offset"]
     rows = met.withColumn("island", F.col("place") - F.row_number().over(along)).groupBy(*lane, "island")
-    rows = rows.agg(F.min("place").alias("first"), (F.max("place") + F.first("size") - 1).alias("last"))
+    rows = rows.agg(F.min("place").alias("first"), F.max("end").alias("last"))
     return rows.drop("island").withColumn("kind", F.lit(kind))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = SHARE) -> DataFrame:
     """doc_id, item_id, windows of the item, how many are met, distinct slot values, and consistent."""
     items, keys = _items(benchmark, text)
-    known = sorted(r["size"] for r in items.select("size").distinct().collect())
+    known = sorted(r["span"] for r in items.select("span").distinct().collect())
     few = keys.count() <= BROADCAST_ROWS
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     shaped = templates(named.withColumn("row", F.xxhash64("doc_id", "text")), "doc_id", "text", "row")
     hits = None
     for n in known or [WINDOW]:
-        own = keys.filter(F.col("size") == n)
+        own = keys.filter(F.col("span") == n).withColumn("end", F.col("place") + ((SEED if n == WINDOW else n) - 1))
         part = _hashed(shaped, n, "doc_id", "row").drop("literal").join(F.broadcast(own) if few else own, "hash")
         hits = part if hits is None else hits.union(part)
-    met = hits.groupBy("doc_id", "row", "item_id", "item_row", "size", (F.col("at") - F.col("place")).alias("offset"), "place")
+    met = hits.groupBy("doc_id", "row", "item_id", "item_row", "end", (F.col("at") - F.col("place")).alias("offset"), "place")
     met = written(met.agg(F.max("literal").alias("literal")), "met")
     runs = _runs(met, "any").union(_runs(met.filter("literal"), "plain"))
-    about = items.select("item_row", "length", "windows", "item_words", "slots", "wrapped_slots", F.least(F.col("length"), F.lit(WINDOW)).alias("span"))
     enough = lambda c: (F.col(c) * 100 >= F.col("windows") * share) | (F.col(c) >= RUN)
+    # As many tokens as one run of `share` percent of the windows covers, wherever they lie in the item.
+    need = F.ceil(F.col("windows") * share / 100) + F.col("span") - 1
 
     # The tokens of the runs, in documents whose runs could be enough together; only their texts are read again.
-    runs = written(runs.join(about.select("item_row", "windows", "span"), "item_row"), "runs")
-    could = runs.filter("kind = 'any'").groupBy("doc_id", "item_row", "windows")
-    could = could.agg(F.sum(F.col("last") - F.col("first") + 2 - F.col("span")).alias("matched")).filter(enough("matched"))
+    runs = written(runs.join(items.select("item_row", "windows", "span"), "item_row"), "runs")
+    could = runs.filter("kind = 'any'").groupBy("doc_id", "item_row", "windows", "span")
+    could = could.agg(F.sum(F.col("last") - F.col("first") + 1).alias("covered")).filter(F.col("covered") >= F.least(need, F.lit(RUN_TOKENS)))
     could = could.select(F.col("doc_id").alias("could_doc"), F.col("item_row").alias("could_row"))
     both = runs["doc_id"].eqNullSafe(could["could_doc"]) & (runs["item_row"] == could["could_row"])
     runs = written(runs.drop("windows", "span").join(could, both, "left_semi"), "could")
@@ -178,8 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", shar
         slot = F.get("slots", j) | (F.coalesce(F.get("wrapped_slots", j), F.lit(False)) & (item != doc))
         return F.struct(j.alias("j"), F.when(slot, item).alias("item_value"), F.when(slot, doc).alias("doc_value"))
 
-    tokens = runs.join(about, "item_row").join(again, "row").select(
-        "doc_id", "row", "item_id", "item_row", "kind", "offset", "last", "length", "windows", "span",
+    tokens = runs.join(items, "item_row").join(again, "row").select(
+        "doc_id", "row", "item_id", "item_row", "kind", "offset", "first", "last", "windows", "span",
         F.explode(F.transform(F.sequence("first", "last"), token)).alias("token"),
     )
     # An occurrence lies at one distance, or within 4 of it where words were put in or left out: each
@@ -192,13 +203,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", shar
         lane("half", F.col("row"), F.floor((F.col("offset") + 4) / 8)),
     )
     tokens = tokens.withColumn("lane", F.explode(lanes))
-    groups = tokens.groupBy("doc_id", "item_id", "item_row", "length", "windows", "kind", "lane").agg(
+    groups = tokens.groupBy("doc_id", "item_id", "item_row", "windows", "span", "kind", "lane").agg(
+        F.countDistinct("token.j").alias("covered"), F.max(F.col("last") - F.col("first") + 1).alias("longest"),
         F.countDistinct(F.when(F.col("token.j") + F.col("span") - 1 <= F.col("last"), F.col("token.j"))).alias("matched"),
         F.countDistinct("token.item_value").alias("item_values"),
         F.countDistinct("token.item_value", "token.doc_value").alias("slot_values"),
     )
     exact = F.col("kind") == "plain"
-    passed = (exact | (F.col("item_values") == F.col("slot_values"))) & enough("matched")
+    passed = (exact | (F.col("item_values") == F.col("slot_values")))
+    passed = passed & (enough("matched") | ((F.col("lane.lane") != "whole") & ((F.col("covered") >= need) | (F.col("longest") >= RUN_TOKENS))))
     rank = F.when(~exact, 2).otherwise(0) + (F.col("lane.lane") == "whole").cast("int")
     best = groups.withColumn("rank", F.when(passed, rank)).groupBy("doc_id", "item_id").agg(
         F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", "matched", "windows", "slot_values"))).alias("best"),

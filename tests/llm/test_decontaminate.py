@@ -70,3 +70,12 @@ def test_items_of_numbers_and_names_meet_their_copies(spark):
     numbers, names = "3 5 8 12 17 23 30 38 47", "Present were Miller Baker Smith Weaver Cook Fox Carter Mason and Turner"
     got = pairs(spark, [f"the sequence {numbers} goes on", names, numbers.replace("3 5", "4 6").replace("17", "18")], [(7, numbers), (8, names)])
     assert set(got) == {(0, 7), (1, 8)} and all(r["matched"] == r["windows"] for r in got.values())
+
+
+def test_near_copies_and_shorter_passages(spark):
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150))
+    short = "which metal melts at the lowest heat of all that people ever dug up today"
+    grown = OTHER.replace("built a", "ever yet built any old")
+    texts = [" ".join(long.split()[50:95]), short.replace("heat", "warmth"), grown, OTHER.replace("runs", "winds").replace("nobody", "no-one"), " ".join(short.split()[:9])]
+    got = pairs(spark, texts, [(7, long), (8, short), (9, OTHER)])
+    assert set(got) == {(0, 7), (1, 8), (2, 9), (3, 9)} and all(r["consistent"] for r in got.values())
