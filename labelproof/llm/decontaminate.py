@@ -94,19 +94,14 @@ def templates(table: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
 
 
 def windows(size: int) -> Column:
-    """The hashes of the window at every place: plain, template and, where there are lines, wrapped template."""
+    """The window at every place in its three forms; the wrapped one is null where there are no lines."""
 
     def one(_: Column, i: Column) -> Column:
         cut = lambda c: F.slice(c, i + 1, size)
-        held = lambda c: F.size(F.filter(cut(c), lambda t: t.startswith("#")))
-        lines = F.col("lines")
-        return F.struct(
-            F.xxhash64(cut("lower")).alias("plain"), F.xxhash64(cut("tokens")).alias("template"), held("tokens").alias("held"),
-            F.when(lines, F.xxhash64(cut("wrapped"))).alias("wrapped"), F.when(lines, held("wrapped")).alias("wrapped_held"),
-        )
+        return F.struct(i.alias("at"), cut("lower").alias("a"), cut("tokens").alias("b"), F.when(F.col("lines"), cut("wrapped")).alias("c"))
 
     count = F.greatest(F.least(F.size("tokens"), F.size("lower")) - (size - 1), F.lit(0))
-    # Both sizes of `wrapped` are read here so that no step is moved into the lambda.
+    # `wrapped` is read here too, so that its step isn't moved into the lambda.
     count = F.when(F.col("lines") & (F.size("wrapped") < 0), 0).otherwise(count)
     return F.transform(F.slice("lower", F.lit(1), count), one)
 
@@ -117,14 +112,16 @@ def _hashed(table: DataFrame, span: int, *keep: str) -> DataFrame:
     `span` is `WINDOW`, or the length of shorter items, which are met whole.
     """
     size, most = (SEED, SEED_HELD) if span == WINDOW else (span, span // 2)
-    rows = table.select(*keep, F.posexplode(windows(size)).alias("at", "w")).select(*keep, "at", "w.*")
+    rows = table.select(*keep, F.inline(windows(size)))
+    plain, template, wrapped = F.xxhash64("a"), F.xxhash64("b"), F.when(F.col("c").isNotNull(), F.xxhash64("c"))
+    few = lambda c: F.size(F.filter(c, lambda t: t.startswith("#"))) <= most
+    form = lambda h, literal: F.struct(h.alias("hash"), F.lit(literal).alias("literal"))
     forms = F.array(
-        F.col("plain"),
-        F.when(F.col("held") <= most, F.col("template")),
-        F.when(F.col("wrapped_held") <= most, F.col("wrapped")),
+        form(plain, True),
+        form(F.when((template != plain) & few("b"), template), False),
+        form(F.when((wrapped != plain) & (wrapped != template) & few("c"), wrapped), False),
     )
-    rows = rows.withColumn("hash", F.explode(F.array_distinct(forms))).filter(F.col("hash").isNotNull())
-    return rows.select(*keep, "at", "hash", (F.col("hash") == F.col("plain")).alias("literal"))
+    return rows.select(*keep, "at", F.inline(forms)).filter(F.col("hash").isNotNull())
 
 
 def _items(benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
