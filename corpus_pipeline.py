@@ -5,12 +5,12 @@ is given, and returns the columns of documents; the last one returns ids and dig
 writes every stage's rows to the shared folder and reads them again.
 
 Rows without doc_id pass every stage on the merit of their text: they can't be named as copies, so
-dedup keeps them. Null and empty texts are kept. Empty tables pass through.
+dedup keeps them. Rows that repeat an id with another text are documents of their own. Null and empty texts are kept. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelproof.llm import bpe, decontaminate, pii, sketch, toxicity
@@ -21,6 +21,11 @@ WORD_BPE = "word_bpe_49k.json"
 TOXIC = 0.3
 
 
+def _row_key() -> Column:
+    """A row's own key, of its id and text; only rows equal in both share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,22 +34,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    groups = sketch.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # A repeated id is one document: of its rows one stays. Only such rows are compared.
+    # Rows that repeat an id are told apart by a hash of id and text; it exceeds any usual id.
     repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     repeated = written(repeated, "repeated-ids")
-    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = left.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    return single.unionByName(several.dropDuplicates(["doc_id"]))
+    single = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias("__key"))
+    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns, _row_key().bitwiseAND(2**62 - 1).bitwiseOR(2**62).alias("__key"))
+    keyed = single.unionByName(written(several.dropDuplicates(["__key"]), "repeated-rows"))
+    groups = sketch.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80)
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    leaks = leaks.select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Documents that hold no benchmark item; each row is judged by its own text."""
+    keyed = docs.withColumn("__key", _row_key())
+    leaks = decontaminate.contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = leaks.select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(leaks, "__key", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,14 @@ def test_odd_and_empty_tables_pass(spark, odd, none):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.CHECKS) <= set(queries.QUERIES)
+
+
+def test_rows_without_or_with_repeated_ids_stand_for_themselves(spark, docs):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
+    texts = [(None, item), (None, "clean words of one row"), (None, "clean words of another"), (3, "one text of id three"), (3, "quite another text under it"), (3, "one text of id three"), (4, item), (4, "a clean row of id four")]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], docs.schema)
+    left = corpus_pipeline.drop_copies(spark, rows, FOLDER)
+    assert sorted(r["text"] for r in left.filter("doc_id is not null").collect()) == sorted({t for i, t in texts if i})
+    clean = corpus_pipeline.drop_benchmark(spark, rows, FOLDER)
+    assert clean.columns == docs.columns
+    assert sorted(r["text"] for r in clean.collect()) == sorted(t for _, t in texts if t != item)
