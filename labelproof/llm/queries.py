@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, chat, decontaminate, html, language, pii, quality, sketch, token_files, toxicity
+from labelproof.llm import bpe, chat, decontaminate, filter_audit, html, language, pii, quality, secret_scan, sketch, token_files, toxicity
 from labelproof.llm.common import held_out, new_folder, table
 from labelproof.llm.tokens import vocabulary
 
@@ -101,6 +101,27 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audited(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """An owner is a source; each language of it is a repository."""
+    rows = secret_scan.scanned(table(spark, folder, "documents"), "source", "lang")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(field: str, value: str):
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("long").alias(f"n_{value}")
+
+    return rows.select(
+        "doc_id", *(count("kind", k) for k in secret_scan.BASE),
+        F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        count("status", "live"), count("status", "example"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -112,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 CHECKS: dict[str, str] = {
@@ -119,4 +142,6 @@ CHECKS: dict[str, str] = {
     "op7_preferences": chat.CHECK,
     "op9_decontamination": decontaminate.CHECK,
     "op6_near_duplicates": sketch.check_sql(4, 80),
+    "op11_filter_audit": filter_audit.CHECK,
+    "op12_secret_scan": secret_scan.CHECK,
 }
