@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, chat, decontaminate, filter_audit, html, language, pii, quality, secret_scan, sketch, token_files, toxicity
+from labelproof.llm import bpe, chat, decontaminate, filter_audit, html, language, pii, quality, secret_scan, sketch, spelling, token_files, toxicity
 from labelproof.llm.common import held_out, new_folder, table
 from labelproof.llm.tokens import vocabulary
 
@@ -122,6 +122,10 @@ def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
     "op11_filter_audit": op11_filter_audit,
     "op12_secret_scan": op12_secret_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 CHECKS: dict[str, str] = {
@@ -144,4 +149,5 @@ CHECKS: dict[str, str] = {
     "op6_near_duplicates": sketch.check_sql(4, 80),
     "op11_filter_audit": filter_audit.CHECK,
     "op12_secret_scan": secret_scan.CHECK,
+    "op13_spelling_variants": spelling.CHECK,
 }
