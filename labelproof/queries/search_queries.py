@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelproof.bindings.views import VIEWS, sql, view
 from labelproof.operators import ingredients as I
 from labelproof.operators import model as M
+from labelproof.operators import postings as P
 from labelproof.operators import search as S
-from labelproof.operators.skew import reliable
+from labelproof.operators.skew import reliable, shared_folder
 from labelproof.queries.base import CHECK_VIEWS, query
 from labelproof.queries.source_queries import products
 
@@ -153,28 +156,79 @@ SELECT 'b' || cast(item_id AS varchar(20)) AS q_id, split_part(text, ' ', 2) ||
 _WORDS = r"list_filter(string_split(trim(regexp_replace(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda t: t <> '')"
 
 
-@query(
-    "search_fulltext",
-    f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
+
+
+def _fulltext_check(docs, queries, key):
+    """First pages of a prefix search over ``docs`` (key, text) by comparing every word of every text."""
+    return f"""WITH d AS (SELECT {key}, {_WORDS.format('texto')} AS ws FROM ({docs})),
     s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d),
-    t AS (SELECT DISTINCT q_id, unnest({_WORDS.format('q_texto')}) AS t FROM v_doc_queries),
+    t AS (SELECT DISTINCT q_id, unnest({_WORDS.format('q_texto')}) AS t FROM {queries}),
     u AS (SELECT DISTINCT t FROM t),
-    f AS (SELECT doc_id, len(ws) AS l, t, len(list_filter(ws, lambda w: starts_with(w, t))) AS tf FROM d, u),
+    f AS (SELECT {key}, len(ws) AS l, t, len(list_filter(ws, lambda w: starts_with(w, t))) AS tf FROM d, u),
     g AS (SELECT t, count(*) AS df FROM f WHERE tf > 0 GROUP BY t),
-    z AS (SELECT t.q_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2
+    z AS (SELECT t.q_id, {key}, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2
         / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS p, count(*) AS have FROM f JOIN g ON g.t = f.t
       JOIN t ON t.t = f.t, s WHERE tf > 0 GROUP BY 1, 2),
-    r AS (SELECT z.*, row_number() OVER (PARTITION BY z.q_id ORDER BY round(p, 6) DESC, doc_id) AS lugar FROM z
+    r AS (SELECT z.*, row_number() OVER (PARTITION BY z.q_id ORDER BY round(p, 6) DESC, {key}) AS lugar FROM z
       JOIN (SELECT q_id, count(*) AS need FROM t GROUP BY q_id) k ON k.q_id = z.q_id AND have = need)
-    SELECT q_id, doc_id, floor(p * 1000 + 0.5) / 1000 AS puntaje, lugar FROM r WHERE lugar <= 20""",
-)
+    SELECT q_id, {key}, floor(p * 1000 + 0.5) / 1000 AS puntaje, lugar FROM r WHERE lugar <= 20"""
+
+
+def _index(spark, fields, key):
+    return P.Index(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", fields, key)
+
+
+def _shown(hits, key):
+    score = (F.floor(F.col("puntaje") * 1000 + 0.5) / 1000).alias("puntaje")
+    return hits.select("q_id", F.col("doc").alias(key), score, "lugar")
+
+
+@query("search_fulltext", _fulltext_check("SELECT doc_id, text AS texto FROM documents", "v_doc_queries", "doc_id"))
 def search_fulltext(spark, d):
     docs = sql(spark, d, "SELECT doc_id AS doc, text AS texto FROM documents")
-    hits = S.full_text(docs, view(spark, d, "v_doc_queries"), 20)
-    return hits.select(
-        "q_id", F.col("doc").alias("doc_id"),
-        (F.floor(F.col("puntaje") * 1000 + 0.5) / 1000).alias("puntaje"), "lugar",
-    )
+    index = _index(spark, ["texto"], "bigint").build(docs)
+    return _shown(index.search(view(spark, d, "v_doc_queries"), 20), "doc_id")
+
+
+_NAMES = "SELECT ean, nombre || ' ' || coalesce(marca, '') AS texto FROM v_products"
+
+
+@query("search_names", _fulltext_check(_NAMES, "v_queries", "ean"))
+def search_names(spark, d):
+    docs = view(spark, d, "v_products").select(F.col("ean").alias("doc"), "nombre", "marca")
+    return _shown(_index(spark, ["nombre", "marca"], "string").build(docs).search(asked(spark, d), 20), "ean")
+
+
+# An index of earlier products, of which the delta renames some, adds some and removes some.
+VIEWS["v_earlier"] = """
+SELECT ean, CASE WHEN p_partkey % 7 = 0 THEN 'viejo ' || nombre || ' nada' ELSE nombre END AS nombre, marca
+FROM v_products WHERE p_partkey % 13 <> 5
+"""
+VIEWS["v_changed"] = """
+SELECT ean, nombre, marca FROM v_products WHERE (p_partkey % 7 = 0 OR p_partkey % 13 = 5) AND p_partkey % 11 <> 3
+"""
+VIEWS["v_removed"] = "SELECT ean FROM v_products WHERE p_partkey % 11 = 3"
+
+
+def _after_delta(spark, d):
+    def docs(name):
+        return view(spark, d, name).withColumnRenamed("ean", "doc")
+
+    return _index(spark, ["nombre", "marca"], "string").build(docs("v_earlier")).apply(docs("v_changed"), docs("v_removed"))
+
+
+@query("search_after_delta", _fulltext_check(f"{_NAMES} WHERE p_partkey % 11 <> 3", "v_queries", "ean"))
+def search_after_delta(spark, d):
+    return _shown(_after_delta(spark, d).search(asked(spark, d), 20), "ean")
+
+
+@query(
+    "vocabulary_after_delta",
+    f"""SELECT palabra, count(*) AS n FROM (SELECT DISTINCT ean, unnest({_WORDS.format('texto')}) AS palabra
+      FROM ({_NAMES} WHERE p_partkey % 11 <> 3)) GROUP BY palabra""",
+)
+def vocabulary_after_delta(spark, d):
+    return _after_delta(spark, d).vocabulary()
 
 
 # --- model --------------------------------------------------------------------
