@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelproof.bindings.views import VIEWS, sql, view
 from labelproof.operators import coverage, quality
+from labelproof.operators.skew import shared_folder
 from labelproof.queries.base import query
 from labelproof.queries.text_queries import _EAN_CHECK
 from labelproof.sinks import tables as S
+from labelproof.sinks.keyed import KeyedTable
 from labelproof.sources import readers as R
 
 
@@ -272,6 +276,33 @@ def merge_newer_wins(spark, d):
     return S.merge_newer(old, new, "clave", "actualizado")
 
 
+def _kept(spark, key, schema):
+    return KeyedTable(spark, f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}", key, schema, 16)
+
+
+@query("upsert_kept_table", "SELECT * FROM o_shelf")
+def upsert_kept_table(spark, d):
+    """The shelf written in two goes, the older half last, into a kept table, and read back."""
+    raw = view(spark, d, "v_shelf_raw")
+    even = F.col("l_orderkey") % 2 == 0
+    rows = raw.drop("l_orderkey")
+    table = _kept(spark, ["ean", "cadena"], rows.schema)
+    for half in (raw.filter(~even), raw.filter(even)):
+        table.upsert(half.drop("l_orderkey"), ["actualizado", "precio"])
+    table.vacuum()
+    return table.read()
+
+
+@query("merge_kept_table", "SELECT clave, actualizado, precio, nombre FROM o_merged")
+def merge_kept_table(spark, d):
+    """The second half merged into the kept first half."""
+    old, new = _halves(spark, d)
+    table = _kept(spark, ["clave"], old.schema)
+    table.upsert(old, ["actualizado", "precio"])
+    table.merge(new, "actualizado")
+    return table.read()
+
+
 @query(
     "merge_stats",
     """SELECT (SELECT count(*) FROM o_halves WHERE NOT par) AS leidas,
