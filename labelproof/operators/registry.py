@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.functions.display import round_ratio
-from labelproof.operators.skew import join_key_stats
+from labelproof.operators.skew import join_key_stats, reliable
 from labelproof.rules import relevance as R
 from labelproof.rules.labels import REGISTRY_OVERLAP
 
@@ -42,107 +42,122 @@ def _joined(*cols: Column | str) -> Column:
     return F.concat_ws("\u0001", *cols)
 
 
-def _prefix_size(size: Column, overlap: float) -> Column:
-    needed = F.ceil(size * overlap - 1e-9)
-    return (size - needed + 1).cast("int")
+# Rows of one (brand, token) that one task compares.
+SALT_ROWS = 10_000
 
 
-def match(
-    products: DataFrame,
-    registry: DataFrame,
-    overlap: float = REGISTRY_OVERLAP,
-) -> DataFrame:
-    """Best registry row per product: ``ean, id, rnpa, score``.
+def _needed(size: Column, overlap: float) -> Column:
+    return F.ceil(size * overlap - 1e-9).cast("int")
 
-    ``products`` has ``ean, nombre, marca``; ``registry`` is prepared and has
-    ``id, rnpa``. The brands must agree; the score is the share of the smaller
-    token set that both have, and at least one shared token must stand outside
-    the flavour clause. Ties go to the earlier brand, then to the lower id.
 
-    Equal names and equal registry texts of a brand are compared once, and a
-    pair is only formed when it shares one of the rarest tokens of its smaller
-    set: a pair that shares none of them cannot reach the overlap. So a brand
-    with many rows never produces all its pairs.
+def token_sets(named: DataFrame, registry: DataFrame) -> DataFrame:
+    """The kept token table: each distinct set of a brand once, its tokens from the rarest on.
+
+    ``id, lado, _brand, _ordered`` (token and its count in the brand), and the payload of both
+    sides: how many names share a set, and the first registry row with its flavour tokens.
+    Side 0 are names, side 1 registry texts.
     """
-    named = brand_parts(products.select("ean", "nombre", "marca"), "marca").withColumn(
-        "_tokens", T.token_set(F.col("nombre"))
-    )
-    named = named.filter(F.size("_tokens") > 0).select("ean", "_place", "_brand", "_tokens")
-    names = named.select("_brand", "_tokens").distinct()
+    none = F.lit(None)
+    names = named.groupBy("_brand", "_tokens").agg(F.count("*").alias("_weight"))
     entries = (
         registry.filter((F.col("marca_norm") != "") & (F.size("producto_tokens") > 0))
         .groupBy(
             F.col("marca_norm").alias("_brand"),
-            F.col("producto_tokens").alias("_words"),
+            F.col("producto_tokens").alias("_tokens"),
             F.col("sabor_tokens").alias("_flavour"),
         )
         .agg(F.min(F.struct("id", "rnpa")).alias("_first"))
     )
-    # Rarity of a token inside a brand, counted over both sides.
-    spread = names.select("_brand", F.explode("_tokens").alias("_token")).unionByName(
-        entries.select("_brand", F.explode("_words").alias("_token"))
-    )
-    rarity = spread.groupBy(_joined("_brand", "_token").alias("_pair")).agg(
-        F.count("*").alias("_weight"), F.count("*").alias("_count")
+    kinds = entries.schema
+    left = names.select(
+        F.lit(0).alias("lado"), "_brand", "_tokens", "_weight",
+        none.cast(kinds["_flavour"].dataType).alias("_flavour"), none.cast(kinds["_first"].dataType).alias("_first"),
     )
-
-    def by_rarity(side: DataFrame, tokens: str, key: list[str]) -> DataFrame:
-        each = side.select(*key, F.explode(tokens).alias("_token"))
-        each = each.withColumn("_pair", _joined("_brand", "_token"))
-        ranked = join_key_stats(
-            each, rarity, "_pair", "_weight", F.xxhash64(*key).cast("string")
+    right = entries.select(F.lit(1).alias("lado"), "_brand", "_tokens", F.lit(0).cast("long").alias("_weight"), "_flavour", "_first")
+    sets = reliable(left.unionByName(right).withColumn("id", F.monotonically_increasing_id()))
+    each = sets.select("id", "_brand", F.explode("_tokens").alias("_token"))
+    each = each.withColumn("_pair", _joined("_brand", "_token"))
+    rarity = reliable(each.groupBy("_pair").agg(F.count("*").alias("_weight"), F.count("*").alias("_count")))
+    ranked = join_key_stats(each, rarity, "_pair", "_weight", F.col("id").cast("string"))
+    ordered = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_count", "_token"))).alias("_ordered"))
+    return reliable(sets.drop("_tokens").join(ordered, "id"))
+
+
+def candidates(sets: DataFrame, overlap: float = REGISTRY_OVERLAP) -> DataFrame:
+    """Pairs of a name and a registry set that can reach the overlap, each once: ``_l, _r``.
+
+    Two sets are compared at the first token, from the rarest on, that both have. It must stand
+    among the first tokens of the smaller set, and in both sets enough tokens must follow it. A
+    token of a brand meets only sets of its own length bucket or a longer one, and one that many
+    sets hold is dealt out over salts that its count names on both sides.
+    """
+    named = sets.withColumn("tokens", F.transform("_ordered", lambda t: t["_token"]))
+    named = named.withColumn("_set", F.struct("id", "_brand", "tokens", "_weight", "_flavour", "_first"))
+    placed = named.select(
+        "lado", "_brand", "_set", F.size("_ordered").alias("_size"), F.posexplode("_ordered").alias("_at", "_t"),
+    ).select("lado", "_brand", "_set", "_size", "_at", F.col("_t._token").alias("_token"), F.ceil(F.col("_t._count") / SALT_ROWS).cast("int").alias("_salts"))
+    bucket = F.floor(F.log2("_size")).cast("int")
+    largest = sets.agg(F.max(F.floor(F.log2(F.size("_ordered"))))).first()[0] or 0
+    need = _needed(F.col("_size"), overlap)
+
+    def small(side: int) -> DataFrame:
+        rows = placed.filter((F.col("lado") == side) & (F.col("_at") <= F.col("_size") - need))
+        rows = rows.withColumn("_bucket", F.explode(F.sequence(bucket, F.lit(largest))))
+        return rows.select(
+            "_brand", "_token", "_bucket", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+            F.col("_set").alias("_s"), F.col("_size").alias("_n"), need.alias("_need"),
         )
-        ordered = F.transform(
-            F.array_sort(F.collect_list(F.struct("_count", "_token"))), lambda s: s["_token"]
+
+    def large(side: int) -> DataFrame:
+        return placed.filter(F.col("lado") == side).select(
+            "_brand", "_token", bucket.alias("_bucket"), F.pmod(F.col("_set.id"), F.col("_salts")).cast("int").alias("_salt"),
+            F.col("_set").alias("_b"), F.col("_size").alias("_m"), F.col("_at").alias("_place"),
         )
-        return ranked.groupBy(*key).agg(ordered.alias("_ordered"))
 
-    left = by_rarity(names, "_tokens", ["_brand", "_tokens"]).select(
-        "_brand", "_tokens", F.col("_ordered").alias("_left")
-    )
-    right = by_rarity(entries, "_words", ["_brand", "_words", "_flavour", "_first"]).select(
-        "_brand", "_words", "_flavour", "_first", F.col("_ordered").alias("_right")
-    )
+    def paired(side: int) -> DataFrame:
+        sizes = F.col("_n") <= F.col("_m") if side == 0 else F.col("_n") < F.col("_m")
+        enough = F.col("_place") <= F.col("_m") - F.col("_need")
+        met = small(side).join(large(1 - side), ["_brand", "_token", "_bucket", "_salt"]).filter(sizes & enough)
+        first = F.get(F.filter("_s.tokens", lambda t: F.array_contains("_b.tokens", t)), F.lit(0))
+        met = met.filter(F.col("_token") == first)
+        name, entry = ("_s", "_b") if side == 0 else ("_b", "_s")
+        return met.select(F.col(name).alias("_l"), F.col(entry).alias("_r"))
 
-    def prefix(tokens: str) -> Column:
-        size = F.size(tokens)
-        return F.slice(F.col(tokens), F.lit(1), _prefix_size(size, overlap))
-
-    def paired(small_left: bool) -> DataFrame:
-        small, large = ("_left", "_right") if small_left else ("_right", "_left")
-        a = left.withColumn("_token", F.explode(prefix("_left") if small_left else "_left"))
-        b = right.withColumn("_token", F.explode("_right" if small_left else prefix("_right")))
-        sizes = (
-            F.size("_left") <= F.size("_right")
-            if small_left
-            else F.size("_right") < F.size("_left")
-        )
-        # A pair that meets on several prefix tokens counts at the first one.
-        first = F.get(
-            F.filter(prefix(small), lambda t: F.array_contains(F.col(large), t)), F.lit(0)
-        )
-        pairs = a.join(b, ["_brand", "_token"]).filter(sizes)
-        return pairs.filter(F.col("_token") == first).select(
-            "_brand", "_tokens", "_words", "_flavour", "_first"
-        )
+    return paired(0).unionByName(paired(1))
+
+
+def match(
+    products: DataFrame,
+    registry: DataFrame,
+    overlap: float = REGISTRY_OVERLAP,
+) -> DataFrame:
+    """Best registry row per product: ``ean, id, rnpa, score``.
+
+    ``products`` has ``ean, nombre, marca``; ``registry`` is prepared and has
+    ``id, rnpa``. The brands must agree; the score is the share of the smaller
+    token set that both have, and at least one shared token must stand outside
+    the flavour clause. Ties go to the earlier brand, then to the lower id.
 
-    pairs = paired(True).unionByName(paired(False))
-    shared = F.array_intersect("_tokens", "_words")
-    smaller = F.least(F.size("_tokens"), F.size("_words"))
-    scored = pairs.withColumn("_score", F.size(shared) / smaller)
-    scored = scored.withColumn("_rounded", round_ratio(F.size(shared), smaller, 2)).filter(
-        (F.size(F.array_except(shared, F.col("_flavour"))) > 0) & (F.col("_score") >= overlap)
+    Equal names and equal registry texts of a brand are compared once.
+    """
+    named = brand_parts(products.select("ean", "nombre", "marca"), "marca").withColumn(
+        "_tokens", T.token_set(F.col("nombre"))
     )
-    best = scored.groupBy("_brand", "_tokens").agg(
+    named = named.filter(F.size("_tokens") > 0).select("ean", "_place", "_brand", "_tokens")
+    named = reliable(named.withColumn("_name", _joined("_brand", F.array_join("_tokens", " "))))
+    pairs = candidates(token_sets(named, registry), overlap)
+    shared = F.array_intersect("_l.tokens", "_r.tokens")
+    smaller = F.least(F.size("_l.tokens"), F.size("_r.tokens"))
+    scored = pairs.select(
+        "_l", F.col("_r._first").alias("_first"), (F.size(shared) / smaller).alias("_score"),
+        round_ratio(F.size(shared), smaller, 2).alias("_rounded"), F.array_except(shared, F.col("_r._flavour")).alias("_outside"),
+    ).filter((F.size("_outside") > 0) & (F.col("_score") >= overlap))
+    name = _joined("_l._brand", F.array_join(F.array_sort("_l.tokens"), " ")).alias("_name")
+    best = scored.groupBy(name, F.col("_l._weight").alias("_weight")).agg(
         F.max(F.struct("_score", (-F.col("_first.id")).alias("_order"), "_first", "_rounded")).alias("_best")
     )
     # Equal names share one result; a very common name is joined by broadcast.
-    named = named.withColumn("_name", _joined("_brand", F.array_join("_tokens", " ")))
-    counts = named.groupBy("_name").agg(F.count("*").alias("_weight"))
-    results = best.select(
-        _joined("_brand", F.array_join("_tokens", " ")).alias("_name"), "_best"
-    ).join(counts, "_name")
-    found = join_key_stats(named, results, "_name", "_weight", F.col("ean"))
+    found = join_key_stats(named, reliable(best), "_name", "_weight", F.col("ean"))
     chosen = found.filter(F.col("_best").isNotNull()).groupBy("ean").agg(
         F.max(
             F.struct(

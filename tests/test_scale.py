@@ -94,3 +94,58 @@ def test_plans_hold_no_python_and_no_nested_loop(spark):
         for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
                     "BroadcastNestedLoopJoin"):
             assert bad not in plan, (name, bad)
+
+
+def _brand_of_many_names(spark, n, entries):
+    """One brand whose names and registry texts are made of few common words."""
+    words = [f"palabra{chr(97 + k)}" for k in range(24)]
+
+    def text(i, k):
+        return " ".join(words[(i * a + b) % len(words)] for a, b in zip((1, 5, 7, 11), (0, k, 3 * k, 7), strict=True))
+
+    names = [(f"{i:06d}", f"{text(i, i // 24 % 13)} {'raro%d' % (i % 97) if i % 3 == 0 else ''}", "Marca") for i in range(n)]
+    texts = [(i, "Marca", text(i * 7, i // 24 % 11), f"R{i}") for i in range(entries)]
+    products = spark.createDataFrame(names, "ean string, nombre string, marca string")
+    return products, G.prepare(spark.createDataFrame(texts, "id bigint, marca string, producto string, rnpa string"), "marca", "producto")
+
+
+def test_registry_candidates_of_a_large_brand(spark, monkeypatch):
+    products, registry = _brand_of_many_names(spark, 10_000, 300)
+    named = G.brand_parts(products, "marca").withColumn("_tokens", G.T.token_set(F.col("nombre"))).select("ean", "_place", "_brand", "_tokens")
+    sets = G.token_sets(named, registry)
+    sizes = {r["lado"]: r["n"] for r in sets.groupBy("lado").agg(F.count("*").alias("n")).collect()}
+    pairs = G.candidates(sets)
+    seen = pairs.select("_l.id", "_r.id")
+    count = seen.count()
+    assert count == seen.distinct().count()
+    sharing = sizes[0] * sizes[1]
+    assert 0 < count < 0.35 * sharing, (count, sharing)
+    # A hot token of the brand, dealt out over salts, gives the same pairs.
+    before = sorted(map(str, G.match(products.limit(400), registry).collect()))
+    monkeypatch.setattr(G, "SALT_ROWS", 5)
+    assert sorted(map(str, G.match(products.limit(400), registry).collect())) == before
+
+
+def test_registry_match_equals_all_pairs(spark):
+    products, registry = _brand_of_many_names(spark, 200, 60)
+    got = {r["ean"]: (r["id"], r["score"]) for r in G.match(products, registry).collect()}
+    rows = products.select("ean", G.T.token_set(F.col("nombre")).alias("t")).collect()
+    texts = registry.select("id", "producto_tokens", "sabor_tokens").collect()
+    want = {}
+    for r in rows:
+        best = None
+        for e in texts:
+            shared = set(r["t"]) & set(e["producto_tokens"])
+            small = min(len(r["t"]), len(e["producto_tokens"]))
+            if small and len(shared) / small >= G.REGISTRY_OVERLAP and shared - set(e["sabor_tokens"]):
+                best = max(best or (0, 0), (len(shared) / small, -e["id"]))
+        if best:
+            want[r["ean"]] = (-best[1], round(best[0], 2))
+    assert {k: (i, round(s, 2)) for k, (i, s) in got.items()} == want
+
+
+def test_registry_match_reads_few_files(spark):
+    import __spark_entry__ as entry_points
+
+    plan = entry_points.queries()["registry_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 6
