@@ -17,8 +17,9 @@ sufficient, whatever other variants the document holds.
 
 Only built-in functions are used. Document windows stream past the item windows, which are
 broadcast only if their counted number is within `BROADCAST_ROWS`; otherwise both sides are
-shuffled, and adaptive execution splits a hot window. Hits are counted per document and item
-before they are gathered.
+shuffled, and adaptive execution splits a hot window. They first meet the rarest windows of each
+item only, as many as a met item can't do without; the pairs found that way then get all their
+hits, by document and window.
 
 Defined results: null or empty texts and items match nothing; an item shorter than a window is
 matched by windows of its own length; rows that repeat an id count as one document or item; an
@@ -27,6 +28,9 @@ empty table on either side gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ RUN_TOKENS = 21
 # Sentence ends are tokens while names are told from sentence starts.
 TOKEN = r"[\p{L}\p{N}]+|[.!?\n]"
 ENDS = (".", "!", "?", "\n")
+NUMBER, CAPITAL, WORD, END, LINE = range(5)
+PLACEHOLDERS = ("#num", "#name", "#unit")
 UNITS = (
     "mm cm m km mg g kg t ml l s ms min h hr hz khz mhz ghz kb mb gb tb v w kw mw inch inches foot feet ft yard yards "
     "mile miles ounce ounces oz pound pounds lb lbs second seconds minute minutes hour hours day days week weeks month "
@@ -56,81 +62,109 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _digit(token: Column) -> Column:
-    return (token >= "0") & (token < ":")
+def _told(table: DataFrame, text: str, *keep: str) -> DataFrame:
+    """keep, the tokens in lower case, the kind of each, and whether there are line ends."""
+    named = table.select(*keep, raw_tokens(F.col(text)).alias("raw"))
+    named = named.withColumn("low", F.transform("raw", lambda t: F.lower(t)))
+
+    def kind(t: Column, i: Column) -> Column:
+        # The most common tokens are told by their first letter. Of all tokens only sentence ends and
+        # those that begin with a digit lie before "@".
+        return (
+            F.when((t >= "a") & (t < "{"), WORD)
+            .when(t < "@", F.when(t == "\n", LINE).when((t >= "0") & (t < ":"), NUMBER).otherwise(END))
+            .when(t.rlike(r"^\p{Lu}\p{Ll}+$") & (t != F.get("low", i)), CAPITAL)
+            .otherwise(WORD)
+        )
+
+    return named.select(*keep, "low", F.transform("raw", kind).alias("kinds"), F.array_contains("raw", "\n").alias("lines"))
 
 
-def canonical(raw: str, wrapped: bool = False) -> Column:
-    """The template of the token column `raw`: sentence ends go, placeholders come.
+def canonical(values: str, marks: Sequence, blank, wrapped: bool = False) -> Column:
+    """The template of a text whose tokens are told: sentence ends go, placeholders come.
 
+    `values` names what stands for each token, `marks` what stands for a number, a name and a unit.
     `wrapped` looks through one line end, which then ends no sentence; an empty line still does.
     """
+    number, name, unit = map(F.lit, marks)
 
-    def one(t: Column, i: Column) -> Column:
-        before = F.get(raw, i - 1)
+    def one(kind: Column, i: Column) -> Column:
+        before = F.get("kinds", i - 1)
         if wrapped:
-            before = F.when(before == "\n", F.get(raw, i - 2)).otherwise(before)
-        name = t.rlike(r"^\p{Lu}\p{Ll}+$") & before.isNotNull() & ~F.coalesce(before, F.lit("")).isin(*ENDS)
+            before = F.when(before == LINE, F.get("kinds", i - 2)).otherwise(before)
         return (
-            F.when(t.isin(*ENDS), F.lit(""))
-            .when(_digit(t), F.lit("#num"))
-            .when((t != F.lower(t)) & name, F.lit("#name"))
-            .when(F.coalesce(_digit(before), F.lit(False)) & F.lower(t).isin(*UNITS), F.lit("#unit"))
-            .otherwise(F.lower(t))
+            F.when((kind == WORD) & (before != NUMBER), F.get(values, i))
+            .when(kind >= END, F.lit(blank))
+            .when(kind == NUMBER, number)
+            .when((kind == CAPITAL) & (before < END), name)
+            .when((kind == WORD) & (before == NUMBER) & F.get("low", i).isin(*UNITS), unit)
+            .otherwise(F.get(values, i))
         )
 
-    return F.array_remove(F.transform(raw, one), "")
+    return F.array_remove(F.transform("kinds", one), blank)
 
 
 def templates(table: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """key, the words and the three forms of the text, place by place: template, its form where lines
+    """key, and the three forms of the text, place by place: template, its form where lines
     are only wrapped, and plain lower case."""
-    named = table.select(F.col(key).cast("long").alias(key), *keep, raw_tokens(F.col(text)).alias("raw"))
-    words = F.filter("raw", lambda t: ~t.isin(*ENDS))
-    named = named.select(key, *keep, "raw", words.alias("words"), F.array_contains("raw", "\n").alias("lines"))
-    lower = F.transform("words", lambda t: F.lower(t))
-    wrapped = F.when(F.col("lines"), canonical("raw", wrapped=True)).otherwise(F.array().cast("array<string>"))
-    return named.select("*", canonical("raw").alias("tokens"), wrapped.alias("wrapped"), lower.alias("lower"))
+    told = _told(table.withColumn(key, F.col(key).cast("long")), text, key, *keep)
+    wrapped = F.when(F.col("lines"), canonical("low", PLACEHOLDERS, "", True)).otherwise(F.array().cast("array<string>"))
+    # By the tokens themselves: a step read only inside this lambda would be repeated for each of them.
+    lower = F.filter("low", lambda t: (t >= "0") & (t != "?"))
+    return told.select(key, *keep, "lines", canonical("low", PLACEHOLDERS, "").alias("tokens"), wrapped.alias("wrapped"), lower.alias("lower"))
 
 
-def windows(size: int) -> Column:
-    """The window at every place in its three forms; the wrapped one is null where there are no lines."""
-
-    def one(_: Column, i: Column) -> Column:
-        cut = lambda c: F.slice(c, i + 1, size)
-        return F.struct(i.alias("at"), cut("lower").alias("a"), cut("tokens").alias("b"), F.when(F.col("lines"), cut("wrapped")).alias("c"))
-
-    count = F.greatest(F.least(F.size("tokens"), F.size("lower")) - (size - 1), F.lit(0))
-    # `wrapped` is read here too, so that its step isn't moved into the lambda.
-    count = F.when(F.col("lines") & (F.size("wrapped") < 0), 0).otherwise(count)
-    return F.transform(F.slice("lower", F.lit(1), count), one)
+def coded(table: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """The same three forms with the hash of every token, which is made once."""
+    told = _told(table.withColumn(key, F.col(key).cast("long")), text, key, *keep)
+    code = lambda t: F.when((t < "@") & ~((t >= "0") & (t < ":")), F.lit(0).cast("long")).otherwise(F.xxhash64(t))
+    told = told.withColumn("codes", F.transform("low", code))
+    marks = [F.xxhash64(F.lit(m)) for m in PLACEHOLDERS]
+    wrapped = F.when(F.col("lines"), canonical("codes", marks, 0, True)).otherwise(F.array().cast("array<bigint>"))
+    lower = F.array_remove("codes", 0)
+    return told.select(key, *keep, "lines", canonical("codes", marks, 0).alias("tokens"), wrapped.alias("wrapped"), lower.alias("lower"))
 
 
 def _hashed(table: DataFrame, span: int, *keep: str) -> DataFrame:
     """keep, place and hash: a row for each different form of a window; one mostly of placeholders is plain only.
 
-    `span` is `WINDOW`, or the length of shorter items, which are met whole.
+    `span` is `WINDOW`, or the length of shorter items, which are met whole. `table` is `coded`; a
+    window is the hash of its tokens' hashes.
     """
     size, most = (SEED, SEED_HELD) if span == WINDOW else (span, span // 2)
-    rows = table.select(*keep, F.inline(windows(size)))
-    plain, template, wrapped = F.xxhash64("a"), F.xxhash64("b"), F.when(F.col("c").isNotNull(), F.xxhash64("c"))
-    few = lambda c: F.size(F.filter(c, lambda t: t.startswith("#"))) <= most
-    form = lambda h, literal: F.struct(h.alias("hash"), F.lit(literal).alias("literal"))
-    forms = F.array(
-        form(plain, True),
-        form(F.when((template != plain) & few("b"), template), False),
-        form(F.when((wrapped != plain) & (wrapped != template) & few("c"), wrapped), False),
+    rows = table.select(*keep, "lines", "lower", "tokens", "wrapped")
+    count = F.least(F.size("tokens"), F.size("lower")) - (size - 1)
+    # Not a filter: that would be moved below the steps it reads, and repeat them for every token.
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("*", F.explode(places).alias("at"))
+    marks = [F.xxhash64(F.lit(m)) for m in PLACEHOLDERS]
+
+    def window(form: str) -> Column:
+        return F.xxhash64(*(F.get(form, F.col("at") + k) for k in range(size)))
+
+    def held(form: str) -> Column:
+        flags = [F.coalesce(F.get(form, F.col("at") + k).isin(*marks), F.lit(False)).cast("int") for k in range(size)]
+        return reduce(Column.__add__, flags)
+
+    rows = rows.select(
+        *keep, "at", window("lower").alias("a"), window("tokens").alias("b"), held("tokens").alias("b_held"),
+        F.when(F.col("lines"), window("wrapped")).alias("c"), F.when(F.col("lines"), held("wrapped")).alias("c_held"),
     )
-    return rows.select(*keep, "at", F.inline(forms)).filter(F.col("hash").isNotNull())
+    few = lambda n: (F.col(n) > 0) & (F.col(n) <= most)
+    forms = F.array(F.col("a"), F.when(few("b_held"), F.col("b")), F.when(few("c_held") & (F.col("c") != F.col("b")), F.col("c")))
+    rows = rows.select(*keep, "at", "a", F.explode(forms).alias("hash")).filter(F.col("hash").isNotNull())
+    return rows.select(*keep, "at", "hash", (F.col("hash") == F.col("a")).alias("literal"))
 
 
 def _items(benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """One row per item with a token (row hash, words, slots, windows); and its window hashes by place."""
-    rows = templates(benchmark.withColumn("item_row", F.xxhash64(F.col("item_id").cast("long"), text)), "item_id", text, "item_row")
-    rows = written(rows.filter(F.size("tokens") > 0).dropDuplicates(["item_row"]), "items")
+    named = benchmark.withColumn("item_row", F.xxhash64(F.col("item_id").cast("long"), text)).dropDuplicates(["item_row"])
+    named = named.select("item_id", "item_row", F.col(text).alias("text"))
+    rows = written(templates(named, "item_id", "text", "item_row").filter(F.size("tokens") > 0), "items")
     rows = rows.withColumn("span", F.least(F.size("tokens"), F.lit(WINDOW)))
     spans = sorted(r["span"] for r in rows.select("span").distinct().collect()) or [WINDOW]  # at most `WINDOW` values
-    parts = [_hashed(rows.filter(F.col("span") == n), n, "item_id", "item_row", "span") for n in spans]
+    codes = coded(named, "item_id", "text", "item_row").join(rows.select("item_row", "span"), "item_row")
+    parts = [_hashed(codes.filter(F.col("span") == n).drop("span"), n, "item_id", "item_row").withColumn("span", F.lit(n)) for n in spans]
     keys = parts[0]
     for part in parts[1:]:
         keys = keys.union(part)
@@ -143,6 +177,23 @@ def _items(benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return written(rows, "item-windows"), keys
 
 
+def _searched(items: DataFrame, keys: DataFrame, share: int) -> DataFrame:
+    """The item windows to look for first: (hash, item_row, span), all but the most common ones of an item.
+
+    An item that is met covers at least `least` windows, so of any set that leaves out fewer than
+    that one is met. Left out are those that most items share, like the openings of questions: in
+    them every document that holds one would meet every such item.
+    """
+    common = keys.groupBy("hash").agg(F.count_distinct("item_row").alias("among"))
+    placed = keys.join(common, "hash").groupBy("item_row", "place").agg(F.max("among").alias("among"))
+    rank = F.row_number().over(Window.partitionBy("item_row").orderBy(F.desc("among"), "place"))
+    need = F.ceil(F.col("windows") * share / 100) + F.col("span") - 1
+    least = F.when(F.col("span") == WINDOW, F.ceil(F.least(need, F.lit(RUN_TOKENS)) / SEED)).otherwise(1)
+    kept = placed.withColumn("rank", rank).join(items.select("item_row", "windows", "span"), "item_row")
+    kept = kept.filter((F.col("among") == 1) | (F.col("rank") >= least)).select("item_row", "place")
+    return written(keys.join(kept, ["item_row", "place"], "left_semi").select("hash", "item_row", "span").distinct(), "searched")
+
+
 def _runs(met: DataFrame, kind: str) -> DataFrame:
     """Hits whose places follow one another at one distance between document and item, joined."""
     along = Window.partitionBy("row", "item_row", "offset").orderBy("place")
@@ -157,13 +208,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", shar
     items, keys = _items(benchmark, text)
     known = sorted(r["span"] for r in items.select("span").distinct().collect())
     few = keys.count() <= BROADCAST_ROWS
+    searched = _searched(items, keys, share)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shaped = templates(named.withColumn("row", F.xxhash64("doc_id", "text")), "doc_id", "text", "row")
-    hits = None
+    named = named.withColumn("row", F.xxhash64("doc_id", "text"))
+    shaped, pairs = coded(named, "doc_id", "text", "row"), None
     for n in known or [WINDOW]:
-        own = keys.filter(F.col("span") == n).withColumn("end", F.col("place") + ((SEED if n == WINDOW else n) - 1))
-        part = _hashed(shaped, n, "doc_id", "row").drop("literal").join(F.broadcast(own) if few else own, "hash")
-        hits = part if hits is None else hits.union(part)
+        own = searched.filter(F.col("span") == n).select("hash", "item_row")
+        part = _hashed(shaped, n, "doc_id", "row").join(F.broadcast(own) if few else own, "hash").select("doc_id", "row", "item_row")
+        pairs = part if pairs is None else pairs.union(part)
+    pairs = written(pairs.distinct(), "pairs")
+
+    # All hits of these pairs: what a document asks for is its own, so no window is common to many.
+    again = named.join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    shaped, hits = coded(again, "doc_id", "text", "row"), None
+    asked = pairs.join(F.broadcast(keys) if few else keys, "item_row")
+    for n in known or [WINDOW]:
+        own = asked.filter(F.col("span") == n).withColumn("end", F.col("place") + ((SEED if n == WINDOW else n) - 1))
+        part = _hashed(shaped, n, "row").drop("literal").join(own, ["row", "hash"])
+        hits = part if hits is None else hits.unionByName(part)
     met = hits.groupBy("doc_id", "row", "item_id", "item_row", "end", (F.col("at") - F.col("place")).alias("offset"), "place")
     met = written(met.agg(F.max("literal").alias("literal")), "met")
     runs = _runs(met, "any").union(_runs(met.filter("literal"), "plain"))
@@ -178,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", shar
     could = could.select(F.col("doc_id").alias("could_doc"), F.col("item_row").alias("could_row"))
     both = runs["doc_id"].eqNullSafe(could["could_doc"]) & (runs["item_row"] == could["could_row"])
     runs = written(runs.drop("windows", "span").join(could, both, "left_semi"), "could")
-    again = named.withColumn("row", F.xxhash64("doc_id", "text")).join(runs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    again = named.join(runs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
     again = templates(again, "doc_id", "text", "row").select("row", F.col("lower").alias("words"))
 
     def token(j: Column) -> Column:
@@ -221,48 +283,70 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", shar
     )
 
 
-# The same pairs in DuckDB's SQL over `documents` and `benchmark`, with the windows as strings.
-# The items of these tables all have a full window, so it leaves shorter ones out.
+# The same pairs in DuckDB's SQL over `documents` and `benchmark`: windows as strings, no pair is left out
+# early, and a run is a count of hits in a row. The items of these tables all have a full window.
+_TEMPLATE = """CASE WHEN t IN ('.', '!', '?', chr(10)) THEN '' WHEN t >= '0' AND t < ':' THEN '#num'
+      WHEN t <> lower(t) AND regexp_matches(t, '^\\p{{Lu}}\\p{{Ll}}+$') AND {0} IS NOT NULL AND {0} NOT IN ('.', '!', '?', chr(10)) THEN '#name'
+      WHEN {0} >= '0' AND {0} < ':' AND lower(t) IN ({1}) THEN '#unit' ELSE lower(t) END"""
+_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+
 CHECK = rf"""
 WITH t AS (
-  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS k, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM documents
-  UNION ALL
-  SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(coalesce(text, ''), '{TOKEN}') FROM benchmark
+  SELECT 'd' AS side, doc_id AS id, hash(doc_id, text) AS k, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM documents
+  UNION
+  SELECT 'b', item_id, hash(item_id, text), regexp_extract_all(coalesce(text, ''), '{TOKEN}') FROM benchmark
 ), u AS (
-  SELECT side, id, k, unnest(raw) AS t, generate_subscripts(raw, 1) AS i FROM t
+  SELECT side, id, k, unnest(raw) AS t, generate_subscripts(raw, 1) AS i, list_contains(raw, chr(10)) AS lines FROM t
 ), p AS (
-  SELECT *, lag(t) OVER (PARTITION BY side, k ORDER BY i) AS b FROM u
+  SELECT *, lag(t) OVER r AS b1, lag(t, 2) OVER r AS b2 FROM u WINDOW r AS (PARTITION BY side, k ORDER BY i)
 ), c AS (
-  SELECT side, id, k, t, CASE WHEN t >= '0' AND t < ':' THEN '#num'
-      WHEN t <> lower(t) AND regexp_matches(t, '^\p{{Lu}}\p{{Ll}}+$') AND b IS NOT NULL AND b NOT IN ('.', '!', '?', chr(10)) THEN '#name'
-      WHEN b >= '0' AND b < ':' AND lower(t) IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '#unit'
-      ELSE lower(t) END AS c,
-    row_number() OVER (PARTITION BY side, k ORDER BY i) AS pos
+  SELECT side, id, k, lines, lower(t) AS a, {_TEMPLATE.format("b1", _UNITS)} AS b,
+    {_TEMPLATE.format("(CASE WHEN b1 = chr(10) THEN b2 ELSE b1 END)", _UNITS)} AS c,
+    row_number() OVER (PARTITION BY side, k ORDER BY i) - 1 AS pos
   FROM p WHERE t NOT IN ('.', '!', '?', chr(10))
+), v AS (
+  SELECT side, id, k, pos, lines, string_agg(a, ' ') OVER r AS a, string_agg(b, ' ') OVER r AS b, string_agg(c, ' ') OVER r AS c,
+    sum((b[1] = '#')::INT) OVER r AS nb, sum((c[1] = '#')::INT) OVER r AS nc, count(*) OVER r AS n
+  FROM c WINDOW r AS (PARTITION BY side, k ORDER BY pos ROWS BETWEEN CURRENT ROW AND {SEED - 1} FOLLOWING)
 ), w AS (
-  SELECT side, id, k, pos, array_agg(c) OVER r AS w, array_agg(t) OVER r AS v
-  FROM c
-  WINDOW r AS (PARTITION BY side, k ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
-), x AS (
-  SELECT side, id, k, pos, array_to_string(w, ' ') AS w, w AS parts, v FROM w
-  WHERE len(w) = {WINDOW} AND 2 * len(list_filter(w, lambda q: q[1] = '#')) <= {WINDOW}
-), i AS (SELECT id, pos, w, parts, v FROM x WHERE side = 'b'),
-total AS (SELECT id, count(DISTINCT pos) AS windows FROM i GROUP BY id),
-hit AS (
-  SELECT x.id AS doc_id, i.id AS item_id, i.pos, windows, x.v AS dv, i.v AS iv, i.parts,
-    len(list_filter(i.parts, lambda q: q[1] = '#')) > 0 AS slotted
-  FROM x JOIN i ON x.w = i.w AND x.side = 'd' JOIN total ON total.id = i.id
-), m AS (
-  SELECT doc_id, item_id, windows, count(DISTINCT pos) AS matched, count(DISTINCT pos) FILTER (NOT slotted) AS literal
-  FROM hit GROUP BY ALL
-), s AS (
-  SELECT DISTINCT doc_id, item_id, unnest(iv) AS a, unnest(dv) AS b, unnest(parts) AS q FROM hit WHERE slotted
-), g AS (SELECT doc_id, item_id, a, count(DISTINCT b) AS n FROM s WHERE q[1] = '#' GROUP BY ALL),
-h AS (SELECT doc_id, item_id, sum(n) AS slot_values, max(n) <= 1 AS consistent FROM g GROUP BY ALL),
-j AS (
-  SELECT m.*, coalesce(h.slot_values, 0)::BIGINT AS slot_values, coalesce(h.consistent, true) AS consistent
-  FROM m LEFT JOIN h USING (doc_id, item_id) WHERE matched * 100 >= windows * {SHARE} OR matched >= {RUN}
+  SELECT side, id, k, pos, a AS w, true AS literal FROM v WHERE n = {SEED}
+  UNION ALL SELECT side, id, k, pos, b, false FROM v WHERE n = {SEED} AND nb BETWEEN 1 AND {SEED_HELD}
+  UNION ALL SELECT side, id, k, pos, c, false FROM v WHERE n = {SEED} AND lines AND nc BETWEEN 1 AND {SEED_HELD} AND c <> b
+), size AS (
+  SELECT k, count(*) - {WINDOW - 1} AS windows FROM c WHERE side = 'b' GROUP BY k HAVING count(*) >= {WINDOW}
+), hit AS (
+  SELECT d.id AS doc_id, d.k AS dk, b.id AS item_id, b.k AS bk, d.pos - b.pos AS o, b.pos AS place, bool_or(b.literal) AS literal
+  FROM w AS d JOIN w AS b ON d.w = b.w AND d.side = 'd' AND b.side = 'b' JOIN size ON size.k = b.k GROUP BY ALL
+), kinds AS (
+  SELECT *, 'any' AS kind FROM hit UNION ALL SELECT *, 'plain' FROM hit WHERE literal
+), runs AS (
+  SELECT *, count(*) OVER (PARTITION BY kind, dk, bk, o ORDER BY place RANGE BETWEEN CURRENT ROW AND {WINDOW - SEED} FOLLOWING) = {WINDOW - SEED + 1} AS whole,
+    count(*) OVER (PARTITION BY kind, dk, bk, o ORDER BY place RANGE BETWEEN CURRENT ROW AND {RUN_TOKENS - SEED} FOLLOWING) = {RUN_TOKENS - SEED + 1} AS long
+  FROM kinds
+), covered AS (
+  SELECT kind, doc_id, dk, item_id, bk, o, j, bool_or(whole AND j = place) AS whole, bool_or(long) AS long
+  FROM (SELECT *, unnest(range(place, place + {SEED})) AS j FROM runs) GROUP BY ALL
+), slots AS (
+  SELECT r.*, i.a AS iv, x.a AS dv, (i.b[1] = '#' OR (i.lines AND i.c[1] = '#' AND i.a <> x.a)) AS slot
+  FROM covered AS r JOIN c AS i ON i.side = 'b' AND i.k = bk AND i.pos = j JOIN c AS x ON x.side = 'd' AND x.k = dk AND x.pos = j + o
+), lanes AS (
+  SELECT *, unnest([{{'l': 'whole', 'p': 0::UBIGINT, 'q': 0::BIGINT}}, {{'l': 'exact', 'p': dk, 'q': o}},
+    {{'l': 'near', 'p': dk, 'q': floor(o / 8.0)::BIGINT}}, {{'l': 'half', 'p': dk, 'q': floor((o + 4) / 8.0)::BIGINT}}]) AS lane FROM slots
+), g AS (
+  SELECT kind, doc_id, item_id, bk, lane, windows, count(DISTINCT j) AS n, bool_or(long) AS long, count(DISTINCT j) FILTER (whole) AS matched,
+    count(DISTINCT iv) FILTER (slot) AS ivs, count(DISTINCT (iv, dv)) FILTER (slot) AS pairs
+  FROM lanes JOIN size ON size.k = bk GROUP BY ALL
+), ranked AS (
+  SELECT *, (kind = 'any')::INT * 2 + (lane.l = 'whole')::INT AS rank, matched * 100 >= windows * {SHARE} OR matched >= {RUN} AS enough,
+    n >= ceil(windows * {SHARE} / 100.0) + {WINDOW - 1} OR long AS passage
+  FROM g
+), best AS (
+  SELECT doc_id, item_id, max((rank, matched, windows, pairs)) FILTER (kind = 'plain' OR ivs = pairs) AS b
+  FROM ranked WHERE enough OR (lane.l <> 'whole' AND passage) GROUP BY ALL
+), everywhere AS (
+  SELECT doc_id, item_id, max(pairs) AS pairs FROM g WHERE kind = 'any' AND lane.l = 'whole' GROUP BY ALL
 )
-SELECT doc_id, item_id, windows, CASE WHEN consistent THEN matched ELSE literal END AS matched, slot_values, consistent
-FROM j WHERE consistent OR literal * 100 >= windows * {SHARE} OR literal >= {RUN}
+SELECT doc_id, item_id, b[3]::BIGINT AS windows, b[2]::BIGINT AS matched,
+  CASE WHEN b[1] >= 2 THEN b[4] ELSE pairs END::BIGINT AS slot_values, b[1] >= 2 AS consistent
+FROM best JOIN everywhere USING (doc_id, item_id) WHERE b IS NOT NULL
 """

@@ -79,3 +79,21 @@ def test_near_copies_and_shorter_passages(spark):
     texts = [" ".join(long.split()[50:95]), short.replace("heat", "warmth"), grown, OTHER.replace("runs", "winds").replace("nobody", "no-one"), " ".join(short.split()[:9])]
     got = pairs(spark, texts, [(7, long), (8, short), (9, OTHER)])
     assert set(got) == {(0, 7), (1, 8), (2, 9), (3, 9)} and all(r["consistent"] for r in got.values())
+
+
+def test_a_shared_opening_makes_no_pairs(spark, monkeypatch):
+    """Items and documents that have only a common opening: none is paired with all the others."""
+    opening = "which of the following is"
+    words = lambda side, i: " ".join(f"{side}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(20))
+    written, counts = decontaminate.written, {}
+
+    def counting(frame, name):
+        kept = written(frame, name)
+        counts[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(decontaminate, "written", counting)
+    items = [(i, f"{opening} {words('q', i)}") for i in range(200)]
+    texts = [f"{opening} {words('d', i)}" for i in range(200)] + [items[7][1]]
+    assert set(pairs(spark, texts, items)) == {(200, 7)}
+    assert counts["pairs"] == 1 and counts["met"] <= 30
