@@ -10,10 +10,13 @@ make two sets of similarity 0.8 meet in a band except with probability (1 - 0.8^
 Groups. Rows of equal sets form a class first (one aggregate on a 128-bit print of the set);
 only one representative per class goes on, so copies are never paired. In every band the member
 that meets most others is the hub. Each representative is verified on the full sets against its
-best hub; components follow. Only where members of one band are still in different components
-are they paired, and a pair is left out if lengths, or what both have lost and gained against a
-common hub, prove it below the threshold. So a large group of near copies costs one pair per
-member, and every pair that meets in a band is verified, connected already, or ruled out.
+best hub; components follow. Where members of a band are still in different components, all are
+compared with one hub of their group, which gives the exact set of elements each has gained and
+lost. Two members differ in just the edits that one of them has, so what is left is a join on
+common edits: a link needs so many that it shows among the rarest ones, and edits of one member
+only make no pair. Members that share a common edit become a group with a hub of its own, until
+no group is apart. So a large group of near copies costs some comparisons per member, and every
+pair that meets in a band is verified, connected already, or ruled out by its edits.
 
 Intermediates are written to the shared folder; joins whose key may be hot are plain shuffle
 joins, whose large partitions adaptive execution splits. Nothing is collected but row counts.
@@ -27,12 +30,13 @@ Other columns are ignored. Texts of any length are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.llm.common import written
@@ -42,7 +46,8 @@ BANDS = 40
 WIDTH = 5
 COORDINATES = BANDS * WIDTH
 BROADCAST_IDS = 2_000_000
-ALIKE = 0.3
+# An edit that so many members hold among their rarest isn't joined; they get a hub of their own.
+HOT = 64
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 SEEDS = (np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -134,14 +139,14 @@ def sketches(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
 
-RESULT = "a long, b long, similarity double, linked boolean, lost int, gained array<long>"
+RESULT = "a long, b long, similarity double, linked boolean, edits array<long>"
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, edits: bool = False) -> DataFrame:
     """`pairs` (a, b) with what their full sets tell.
 
-    similarity; linked: 100 * common >= percent * united; and where the two are alike enough to
-    compare others by it, how many elements of b the set a has lost and hashes of those it gained.
+    similarity; linked: 100 * common >= percent * united; and, if asked for, hashes of the
+    elements that a has gained and lost against b.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct(), "wanted")
@@ -153,7 +158,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text_a", "text_b"))
-            similar, linked, lost, gained, last, right = [], [], [], [], None, set()
+            similar, linked, changed, last, right = [], [], [], None, set()
             for i in range(batch.num_rows):
                 left, text = shingles(ta[i].as_py(), size), tb[i].as_py()
                 if text != last:
@@ -162,12 +167,11 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 united = len(left) + len(right) - common
                 similar.append(common / united if united else 0.0)
                 linked.append(100 * common >= percent * united > 0)
-                alike = similar[-1] >= ALIKE
-                lost.append(len(right) - common if alike else None)
-                gained.append([xxhash.xxh3_64_intdigest(b" ".join(g)) - 2**63 for g in left - right] if alike else None)
-            kinds = (pa.float64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()))
-            columns = [pa.array(c, k) for c, k in zip((similar, linked, lost, gained), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b, *columns], ["a", "b", "similarity", "linked", "lost", "gained"])
+                # One element is gained or lost, never both: the hash of the element alone tells which edit it is.
+                changed.append([xxhash.xxh3_64_intdigest(b" ".join(g)) - 2**63 for g in left ^ right] if edits else None)
+            kinds = (pa.float64(), pa.bool_(), pa.list_(pa.int64()))
+            columns = [pa.array(c, k) for c, k in zip((similar, linked, changed), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, *columns], ["a", "b", "similarity", "linked", "edits"])
 
     return both.mapInArrow(run, RESULT)
 
@@ -202,6 +206,64 @@ def _close(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _most(a: Column, b: Column, percent: int) -> Column:
+    """So many elements two linked sets of these sizes may differ in."""
+    return F.floor((a + b) * (100 - percent) / (100 + percent) + 1e-9)
+
+
+def _apart(groups: DataFrame, connected: DataFrame) -> DataFrame:
+    """`groups` (group, rep, ...) that hold several components, with each member's component."""
+    named = groups.join(connected.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep"))
+    several = named.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return named.join(several.select("group"), "group")
+
+
+def _candidates(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one hub whose edits can be alike enough, and the hot edits: (group, rep).
+
+    `members` has hub, rep, n_shingles, component and edits. Two members differ in exactly the
+    edits that one of them has. A link needs so many common edits that the rarest `most` / 2 + 1
+    of the member with fewer edits, and the rarest `most` + 1 of the other, hold a common one.
+    """
+    # The largest sets that may be linked with this one.
+    largest = F.floor(F.col("n_shingles") * 100 / percent)
+    members = members.withColumn("most", _most(F.col("n_shingles"), largest, percent)).withColumn("n_edits", F.size("edits"))
+    each = members.select("hub", "rep", F.explode("edits").alias("edit"))
+    often = each.groupBy("hub", "edit").agg(F.count("*").alias("often")).filter("often > 1")
+    # An edit of one member only can't be common; it still takes its place among the rarest.
+    held = each.join(often, ["hub", "edit"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "edit"))).alias("shared"))
+    held = members.drop("edits").join(held, ["hub", "rep"])
+    alone = F.col("n_edits") - F.size("shared")
+    first = F.greatest(F.col("most") + 1 - alone, F.lit(0)).cast("int")
+    held = held.select(
+        "hub", "rep", "n_shingles", "component", "n_edits", "most", alone.alias("alone"),
+        F.posexplode(F.slice("shared", F.lit(1), first)).alias("at", "edit"),
+    )
+    held = held.withColumn("edit", F.col("edit.edit")).withColumn("rank", F.col("alone") + F.col("at"))
+    held = held.withColumn("rare", F.col("rank") <= F.floor(F.col("most") / 2)).drop("alone", "at", "most")
+    held = written(held, "edits")
+    counts = held.groupBy("hub", "edit").agg(F.count_if("rare").alias("rare"))
+    cool, hot = counts.filter((F.col("rare") > 0) & (F.col("rare") <= HOT)), counts.filter(F.col("rare") > HOT)
+    some = held.join(cool.select("hub", "edit"), ["hub", "edit"])
+    other = some.select("hub", "edit", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n_shingles", "component", "n_edits", "rank")))
+    order = (F.col("n_edits") < F.col("n_edits_b")) | ((F.col("n_edits") == F.col("n_edits_b")) & (F.col("rep") < F.col("rep_b")))
+    # Where the rarest common edit stands, as many others must follow in both as a link needs.
+    allowed = _most(F.col("n_shingles"), F.col("n_shingles_b"), percent)
+    follow = F.least(F.col("n_edits") - F.col("rank"), F.col("n_edits_b") - F.col("rank_b"))
+    enough = follow * 2 >= F.col("n_edits") + F.col("n_edits_b") - allowed
+    apart = (F.col("component") != F.col("component_b")) & _close("n_shingles", "n_shingles_b", percent)
+    pairs = some.filter("rare").join(other, ["hub", "edit"]).filter(order & apart & enough)
+    pairs = written(pairs.select("hub", F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), "meetings")
+    edits = members.select("hub", "rep", "n_shingles", "edits")
+    both = pairs.join(edits.toDF("hub", "a", "n_a", "edits_a"), ["hub", "a"]).join(edits.toDF("hub", "b", "n_b", "edits_b"), ["hub", "b"])
+    common = F.size(F.array_intersect("edits_a", "edits_b"))
+    alike = F.size("edits_a") + F.size("edits_b") - 2 * common <= _most(F.col("n_a"), F.col("n_b"), percent)
+    pairs = both.filter(alike).select("a", "b").distinct()
+    groups = held.join(hot.select("hub", "edit"), ["hub", "edit"]).select(F.xxhash64("hub", "edit").alias("group"), "rep")
+    return pairs, written(groups, "hot-edits")
+
+
 def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified edges (a, b) that connect the representatives as all their links do."""
     keyed = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
@@ -209,7 +271,7 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     met = written(keyed.join(shared, "band"), "met")
     # The member that meets most others in its bands, the lowest id of such; then the best that
     # any member of one's bands has found, so that a group agrees on one hub.
-    weight = met.groupBy("rep").agg(F.sum("members").alias("weight"))
+    weight = written(met.groupBy("rep").agg(F.sum("members").alias("weight")), "weights")
     own = F.struct("weight", (-F.col("rep")).alias("low"), F.col("n_shingles").alias("size")).alias("hub")
     held = met.join(weight, "rep").select("band", "rep", "n_shingles", own)
     for _ in range(2):
@@ -220,40 +282,34 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     stars = best.select(F.col("rep").alias("a"), (-F.col("hub.low")).alias("b"), "n_shingles", F.col("hub.size").alias("size"))
     stars = stars.filter(F.col("a") != F.col("b")).filter(_close("n_shingles", "size", percent))
     tested = written(verified(stars, docs, size, percent), "stars")
-    first = tested.filter("linked")
-    connected = components(first)
-
-    # Representatives of one band that are still apart.
-    seen = tested.filter(F.col("gained").isNotNull()).select(F.col("a").alias("rep"), F.col("b").alias("hub"), "lost", "gained")
-    named = (
-        met.select("band", "rep", "n_shingles")
-        .join(connected.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    )
-    apart = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    none = F.array().cast("array<bigint>")
-    named = named.join(apart.select("band"), "band").join(seen, "rep", "left").select(
-        "band", "rep", "n_shingles", "component", F.coalesce("hub", "rep").alias("hub"),
-        F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("gained", none).alias("gained"),
-    )
-    named = written(named, "apart")
-    right = named.toDF("band", "rep_b", "n_b", "component_b", "hub_b", "lost_b", "gained_b")
-    # Sets x and y that lost and gained elements against one hub differ in at least
-    # |gained x| + |gained y| - 2 |gained by both| + ||lost x| - |lost y|| elements, and a link
-    # allows (100 - percent) / (100 + percent) of their summed sizes.
-    most = F.floor((F.col("n_shingles") + F.col("n_b")) * (100 - percent) / (100 + percent) + 1e-9)
-    over = F.size("gained") + F.size("gained_b") + F.abs(F.col("lost") - F.col("lost_b")) - most
-    may_link = (F.col("hub") != F.col("hub_b")) | (over <= 0) | (F.size(F.array_intersect("gained", "gained_b")) * 2 >= over)
-    pairs = (
-        named.join(right, (named["band"] == right["band"]) & (F.col("component") < F.col("component_b")) & _close("n_shingles", "n_b", percent) & may_link)
-        .select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
-        .distinct()
-    )
-    # A representative and its own hub have been tested.
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    rest = verified(pairs, docs, size, percent).filter("linked")
-    return first.select("a", "b").union(rest.select("a", "b"))
+    edges = tested.filter("linked").select("a", "b")
+    connected = components(edges)
+
+    # Groups of representatives that are still apart. Sets of a link have sizes of one step of the
+    # scale or of two neighbouring ones, so a band falls into groups of two steps each.
+    step = F.floor(F.ln("n_shingles") / max(math.log(100 / percent) * 1.001, 1e-6)).cast("long")
+    bands = met.select(F.col("band").alias("group"), "rep", "n_shingles")
+    steps = F.explode(F.array(step, step + 1))
+    groups = _apart(bands, connected).withColumn("step", steps).select(F.xxhash64("group", "step").alias("group"), "rep")
+    known = best.select("rep", "n_shingles")
+    while True:
+        groups = written(_apart(groups.join(known, "rep").join(weight, "rep"), connected), "apart")
+        if groups.isEmpty():
+            return edges
+        # Every member is compared with the hub of its group; a hub has no edits and leaves the group.
+        top = groups.groupBy("group").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"))).alias("hub"))
+        under = groups.join(top.select("group", (-F.col("hub.low")).alias("hub")), "group").filter(F.col("rep") != F.col("hub"))
+        under = written(under.select("rep", "hub", "n_shingles").distinct(), "under")
+        told = written(verified(under.select(F.col("rep").alias("a"), F.col("hub").alias("b")), docs, size, percent, edits=True), "told")
+        edges = written(edges.union(told.filter("linked").select("a", "b")), "links")
+        connected = components(edges)
+        edited = told.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "edits")
+        members = _apart(under.withColumnRenamed("hub", "group"), connected).withColumnRenamed("group", "hub")
+        members = written(members.join(edited, ["rep", "hub"]), "members")
+        pairs, groups = _candidates(members, percent)
+        pairs = written(pairs, "pairs")
+        edges = written(edges.union(verified(pairs, docs, size, percent).filter("linked").select("a", "b")), "links")
+        connected = components(edges)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

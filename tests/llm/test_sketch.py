@@ -90,3 +90,43 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (103, 105), (200, 200)]
     got = {r["node"]: r["component"] for r in sketch.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[103] == 100 and got[200] == 200
+
+
+def test_a_group_of_near_copies_far_from_each_other_makes_no_pairs(spark, monkeypatch):
+    """200 near copies of one text, each with words of its own changed: 19,900 possible pairs."""
+    rng, written, counts = random.Random(9), sketch.written, {}
+
+    def counting(frame, name):
+        kept = written(frame, name)
+        counts[name] = counts.get(name, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(sketch, "written", counting)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(5, 195), 3 + i % 6):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    check(spark, rows)
+    print(counts)
+    assert counts.get("pairs", 0) < 200 and counts.get("meetings", 0) < 20 * 200 and counts.get("under", 0) < 20 * 200, counts
+
+
+def test_links_between_members_that_only_share_edits(spark, monkeypatch):
+    """Chains and groups of their own inside one large group, with common edits."""
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for group in range(6):
+        common = list(base)
+        for at in rng.sample(range(5, 115), 5):
+            common[at] = f"g{group}x{at}"
+        for i in range(12):
+            words = list(common)
+            for at in rng.sample(range(5, 115), 1 + i % 3):
+                words[at] = f"own{group}x{i}x{at}"
+            rows.append((group * 100 + i, " ".join(words)))
+    check(spark, rows)
+    monkeypatch.setattr(sketch, "HOT", 2)
+    check(spark, rows)
