@@ -270,15 +270,24 @@ def evidence(
     )
 
 
-def analyze_text(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the evidence struct of an ingredient text column."""
+def listed(df: DataFrame, text: str) -> DataFrame:
+    """Add the single ingredients and the trace phrases of an ingredient text column."""
     df = df.withColumn("_norm", T.norm_ingredients(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_tokens", ingredient_tokens(F.col("_norm")))
-    df = df.withColumn("_traces", trace_phrases(F.col("_norm")))
-    df = mark_tokens(df, "_tokens", "_marks")
+    return df.withColumn("_traces", trace_phrases(F.col("_norm"))).drop("_norm")
+
+
+def analyze_text(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the evidence struct of an ingredient text column."""
+    df = mark_tokens(listed(df, text), "_tokens", "_marks")
     df = rank_tokens(df, "_marks", "_ranks")
     df = judge_tokens(df, "_ranks", "_items")
-    df = summarise(df, "_items", "_sum")
+    return concluded(df, "_items", out).drop("_marks", "_ranks")
+
+
+def concluded(df: DataFrame, items: str, out: str) -> DataFrame:
+    """Add the evidence struct of a listed text whose tokens are judged."""
+    df = summarise(df, items, "_sum")
     facts, total = F.col("_sum"), F.size("_tokens")
     known = whole_percent(facts["ratio"])
     verdict = evidence(
@@ -296,6 +305,4 @@ def analyze_text(df: DataFrame, text: str, out: str) -> DataFrame:
         "Sin ingredientes animales claros, pero hay ",
         "El producto no publica su lista de ingredientes",
     )
-    return df.withColumn(out, settled(verdict)).drop(
-        "_norm", "_tokens", "_traces", "_marks", "_ranks", "_items", "_sum"
-    )
+    return df.withColumn(out, settled(verdict)).drop("_tokens", "_traces", items, "_sum")

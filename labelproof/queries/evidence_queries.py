@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelproof.bindings.views import view
@@ -10,6 +12,8 @@ from labelproof.operators import evidence as E
 from labelproof.operators import highlight as H
 from labelproof.operators import ingredients as I
 from labelproof.operators import tags as G
+from labelproof.operators.skew import shared_folder
+from labelproof.operators.token_dictionary import TokenDictionary
 from labelproof.queries.base import CHECK_VIEWS, query
 
 CHECK_VIEWS["o_norm"] = r"""SELECT o, ean, txt, tags, trim(regexp_replace(regexp_replace(
@@ -185,6 +189,18 @@ def ingredients_verdict(spark, d):
     return _flat(I.analyze_text(rows, "txt", "e"), "e", "o")
 
 
+@query(
+    "ingredients_by_dictionary",
+    """SELECT o, estado, motivo, cobertura, n_ingredientes, detectados, ambiguos FROM o_ev WHERE src = 'text'""",
+)
+def ingredients_by_dictionary(spark, d):
+    """The same verdicts with each distinct token judged once: half of the rows first, then all of them."""
+    rows = view(spark, d, "v_label").select("o", "txt")
+    kept = TokenDictionary(spark, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
+    kept.refresh(I.listed(rows.filter(F.crc32(F.col("o").cast("string")) % 2 == 0), "txt"), "_tokens")
+    return _flat(kept.analyze_text(rows, "o", "txt", "e"), "e", "o")
+
+
 @query(
     "counts_by_state",
     "SELECT estado, count(*) AS n FROM o_ev WHERE src = 'text' GROUP BY estado",
