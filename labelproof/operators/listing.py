@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelproof.operators.skew import dense_positions, reliable
+from labelproof.operators.skew import dense_positions, reliable, shared_folder
 
 
 def pages(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -84,18 +86,66 @@ def drill_down(nodes: DataFrame, cap: Column) -> DataFrame:
     ``nodes`` has ``id, parent, total, leaf, raiz``; a node is entered from a
     kept-open parent. It is a unit when its total fits or it has no children
     (then its total is clipped), else its children are looked at; empty nodes
-    are dropped. The walk ends when no node is left open, so the tree may be of
-    any depth; a node has one parent, so none is entered twice.
+    are dropped. The walk is one recursive query that ends when no node is
+    left open. A node has one parent, so only a root can be reached twice: a
+    root inside a cycle is entered once, as a root.
     """
-    fits = (F.col("total") <= cap) | F.col("leaf")
-    alive = nodes.filter(F.col("total") > 0)
-    frontier = alive.filter("raiz")
-    units = None
-    while units is None or not frontier.isEmpty():
-        done = frontier.filter(fits).select(
-            "id", F.least(F.col("total"), cap).cast("bigint").alias("total")
+    spark = nodes.sparkSession
+    # The tree may be of any depth and size.
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    alive = nodes.filter(F.col("total") > 0).withColumn("_cap", cap)
+    alive = reliable(
+        alive.select(
+            "id", "parent", "raiz", ((F.col("total") <= F.col("_cap")) | F.col("leaf")).alias("unidad"),
+            F.least("total", "_cap").cast("bigint").alias("total"),
+        )
+    )
+    return spark.sql(
+        """
+        WITH RECURSIVE paso (id, unidad, total) AS (
+          SELECT id, unidad, total FROM {nodos} WHERE raiz
+          UNION ALL
+          SELECT n.id, n.unidad, n.total FROM paso JOIN {nodos} n ON n.parent = paso.id
+          WHERE NOT paso.unidad AND NOT n.raiz
         )
-        units = done if units is None else units.unionByName(done)
-        opened = frontier.filter(~fits).select(F.col("id").alias("parent"))
-        frontier = reliable(alive.join(opened, "parent").select(*nodes.columns))
-    return units
+        SELECT id, total FROM paso WHERE unidad
+        """,
+        nodos=alive,
+    )
+
+
+class PageDirectory:
+    """An ordered listing kept by ranges, so that a page reads the ranges it lies in.
+
+    The rows are range partitioned by the order and written, one folder per range; the directory
+    has one line per range with its first place and its rows.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[Column], size: int, ranges: int | None = None):
+        spark = rows.sparkSession
+        parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.order, self.size = order, size
+        self.path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+        placed = rows.repartitionByRange(parts, *order).withColumn("_rango", F.spark_partition_id())
+        placed.write.partitionBy("_rango").parquet(self.path)
+        schema = placed.schema
+        self.rows = spark.read.schema(schema).parquet(self.path)
+        # One line per range.
+        counts = sorted((r["_rango"], r["n"]) for r in self.rows.groupBy("_rango").agg(F.count("*").alias("n")).collect())
+        self.lines, first = [], 0
+        for number, n in counts:
+            self.lines.append((number, first, n))
+            first += n
+        self.total = first
+
+    def page_count(self) -> int:
+        return max(1, -(-self.total // self.size))
+
+    def page(self, number: int) -> DataFrame:
+        """One page, counted from one, in order; past the last one it is empty."""
+        begin = (number - 1) * self.size
+        hit = [line for line in self.lines if line[1] < begin + self.size and begin < line[1] + line[2]]
+        rows = self.rows.filter(F.col("_rango").isin([line[0] for line in hit]))
+        skip = begin - hit[0][1] if hit else 0
+        return rows.drop("_rango").orderBy(*self.order).offset(skip).limit(self.size)

@@ -117,6 +117,49 @@ def fetch_outcome(status: Column, valid_json: Column, found: Column) -> Column:
     )
 
 
+def chunk_summaries(rows: DataFrame, run: str, nth: str, failed: Column, streak: int, chunk: int) -> DataFrame:
+    """Per run and chunk: ``_first, _rows, _lead, _trail`` and the end of the first streak inside, ``_inner``.
+
+    Only the places of the successes are gathered, at most ``chunk`` of them.
+    """
+    place = F.col(nth)
+    grouped = rows.groupBy(run, F.floor(place / chunk).cast("bigint").alias("_chunk")).agg(
+        F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_rows"),
+        F.sort_array(F.collect_list(F.when(~failed, place))).alias("_ok"),
+    )
+    last_ok = F.array_max("_ok")
+    next_ok = lambda i: F.coalesce(F.get("_ok", i + 1), F.col("_last") + 1)
+    ends = F.transform("_ok", lambda p, i: F.when(next_ok(i) - p > streak, p + streak))
+    return grouped.select(
+        run, "_chunk", "_first", "_rows",
+        F.coalesce(F.array_min("_ok") - F.col("_first"), F.col("_rows")).alias("_lead"),
+        F.coalesce(F.col("_last") - last_ok, F.col("_rows")).alias("_trail"),
+        F.array_min(ends).alias("_inner"),
+    )
+
+
+def first_streaks(summaries: DataFrame, run: str, streak: int) -> DataFrame:
+    """``run, _end``: the number of the row that completes the first streak, merged from summaries."""
+    along = Window.partitionBy(run).orderBy("_chunk")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    full = F.col("_lead") == F.col("_rows")
+    # Chunks of failures alone pass on what came before them.
+    island = F.coalesce(F.sum((~full).cast("int")).over(before), F.lit(0))
+    merged = summaries.withColumn("_island", island)
+    inside = Window.partitionBy(run, "_island").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # The chunk that opens an island hands in the failures it ends with; it stands in the island before.
+    opened = F.lag(F.when(~full, F.col("_trail"))).over(along)
+    merged = merged.withColumn("_opened", opened)
+    carried = F.coalesce(F.sum(F.when(full, F.col("_rows"))).over(inside), F.lit(0)) + F.coalesce(
+        F.max("_opened").over(Window.partitionBy(run, "_island")), F.lit(0)
+    )
+    merged = merged.withColumn("_carried", carried)
+    reached = (F.col("_carried") < streak) & (F.col("_carried") + F.col("_lead") >= streak) & (F.col("_lead") > 0)
+    joined = F.when(reached, F.col("_first") + (streak - F.col("_carried")) - 1)
+    ends = merged.select(run, F.least(joined, F.col("_inner")).alias("_end"))
+    return ends.groupBy(run).agg(F.min("_end").alias("_end")).filter(F.col("_end").isNotNull())
+
+
 def cut_failure_streak(
     log: DataFrame,
     run: str,
@@ -128,26 +171,16 @@ def cut_failure_streak(
     """Rows of each run up to the end of its first streak of failures.
 
     Rows are numbered by run and position first, so gaps between positions
-    don't matter. A run is looked at in chunks of those numbers, each with the
-    last ``streak - 1`` rows of the chunk before, so a long run spreads over
-    many tasks and the only per-run state is one position. ``run`` is a text
-    column.
+    don't matter. Each chunk of those numbers gives a summary of a run's part
+    in it: its rows, the failures it begins and ends with, and the first streak
+    inside it. Summaries are merged along the run: what a chunk ends with goes
+    on through chunks of failures alone, so a streak may be longer than a chunk
+    and a run of any length spreads over many tasks. ``run`` is a text column.
     """
-    if chunk < streak:
-        raise ValueError("a chunk must hold a whole streak")
-    halo = streak - 1
-    named = log.select(run, pos, failed.cast("int").alias("_failed"))
+    named = log.select(run, pos, failed.cast("boolean").alias("_failed"))
     numbered = dense_positions(named, [F.col(run), F.col(pos)], "_nth")
-    home = F.floor(F.col("_nth") / chunk).cast("bigint")
-    # The last rows of a chunk are also seen by the next one.
-    late = F.col("_nth") % chunk >= chunk - halo
-    chunks = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
-    flags = numbered.select(run, pos, "_nth", "_failed", F.explode(chunks).alias("_chunk"))
-    last = Window.partitionBy(run, "_chunk").orderBy("_nth").rowsBetween(-halo, 0)
-    ends = flags.withColumn("_run", F.sum("_failed").over(last)).filter(
-        F.col("_run") >= streak
-    )
-    cuts = ends.groupBy(run).agg(F.min(pos).alias("_cut"))
+    cuts = first_streaks(chunk_summaries(numbered, run, "_nth", F.coalesce("_failed", F.lit(False)), streak, chunk), run, streak)
+    cuts = cuts.join(numbered.select(run, F.col("_nth").alias("_end"), F.col(pos).alias("_cut")), [run, "_end"]).select(run, "_cut")
     runs = log.groupBy(run).agg(F.count("*").alias("_rows")).join(cuts, run, "left")
     joined = join_key_stats(log, runs, run, "_rows", F.col(pos).cast("string"))
     kept = F.col("_cut").isNull() | (F.col(pos) <= F.col("_cut"))

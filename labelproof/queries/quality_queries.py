@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelproof.bindings.views import VIEWS, sql, view
@@ -226,6 +229,22 @@ def paged_listing(spark, d):
     return L.pages(rows_, [F.col("nombre"), F.col("ean")], 24)
 
 
+@query(
+    "page_of_listing",
+    """SELECT ean, nombre, i::BIGINT AS lugar FROM (SELECT ean, nombre, row_number() OVER (ORDER BY nombre, ean) AS i,
+      greatest(1, ceil(count(*) OVER () / 24.0)) AS n FROM v_products) WHERE ceil(i / 24.0) IN (1, n // 2, n)""",
+)
+def page_of_listing(spark, d):
+    """The first, the middle and the last page of a kept listing, with the place of each row."""
+    rows_ = products(spark, d).select("ean", "nombre")
+    kept = L.PageDirectory(rows_, [F.col("nombre"), F.col("ean")], 24)
+    last = kept.page_count()
+    pages = [kept.page(n).select("*", F.lit((n - 1) * 24).alias("_antes")) for n in sorted({1, max(1, last // 2), last})]
+    both = functools.reduce(DataFrame.unionByName, pages)
+    place = F.row_number().over(Window.partitionBy("_antes").orderBy("nombre", "ean"))
+    return both.select("ean", "nombre", (F.col("_antes") + place).cast("bigint").alias("lugar"))
+
+
 @query(
     "page_counts",
     """SELECT estado, count(*) AS n, greatest(1, ceil(count(*) / 24.0))::BIGINT AS paginas FROM v_products
