@@ -35,7 +35,12 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    return NOT_LETTERS.sub(" ", text.lower()).strip().encode() if text else b""
+    """The text in lower case without signs and digits; empty if it has no letter.
+
+    Number signs like Roman numerals and fractions are word characters, but no letters.
+    """
+    kept = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    return kept.encode() if any(map(str.isalpha, kept)) else b""
 
 
 def dictionaries(docs: DataFrame, texts: int = TEXTS, prefix: int = PREFIX, size: int = DICTIONARY) -> dict[str, bytes]:
