@@ -40,7 +40,9 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
+# Without a closing tag, these run to the end of the page; of the others only the tag is left out.
+ENDLESS = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "html body article main section div header footer nav aside form fieldset figure figcaption blockquote pre address "
     "details summary dialog menu ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 hr center".split()
@@ -115,6 +117,7 @@ def parse(source: str | None) -> Page:
         del stack[depth:]
 
     at, n = 0, len(source)
+    unclosed: set[str] = set()  # no closing tag stands behind this place, nor behind a later one
     while at < n:
         m = TAG.search(source, at)
         if m is None:
@@ -132,8 +135,15 @@ def parse(source: str | None) -> Page:
                 pop_to(depth)
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = close.end() if close else n
+            if name == "svg" and m[3].endswith("/"):
+                continue
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            if close:
+                at = close.end()
+            elif name in ENDLESS:
+                at = n
+            else:
+                unclosed.add(name)
             continue
         if name in BLOCK and name != "p":
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("p", "td", "th", "table")), 0)

@@ -82,3 +82,23 @@ def test_trees_equal_the_library(spark, fitted):
     mine = html.Trees([html._flat(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights))(x)
     theirs = [r[0][1] for r in model.transform(rows).select(vector_to_array("probability")).collect()]
     assert np.allclose(mine, theirs)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p>one <svg/> two</p><p>three</p></article>", "one two\nthree"),
+        ("<article><p>one <svg><title>no</title></svg> two</p></article>", "one two"),
+        ("<article><p>a</p><object><p>b</p><p>c</p></article>", "a\nb\nc"),
+        ("<article><p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+        ("<article><p>a</p><svg><p>b</p><select><p>c</p></article>", "a\nb\nc"),
+        ("<article><p>a</p><script>b", "a"),
+    ],
+)
+def test_no_text_is_lost_behind_embedded_tags(source, text):
+    page = html.parse(source)
+    assert "\n".join(t for _, t, _ in page.runs) == text
+
+
+def test_many_unclosed_tags_take_linear_time():
+    assert len(html.parse("<svg>" * 100_000 + "<p>end</p>").runs) == 1
