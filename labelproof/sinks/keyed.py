@@ -17,20 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelproof.operators.skew import reliable
-from labelproof.sinks.tables import merge_counts, merge_newer, upsert
+from labelproof.sinks.tables import latest, merge_counts, merge_newer, upsert
 
 
 class KeyedTable:
     """Rows with unique keys in a folder that driver and executors share.
 
-    ``buckets`` is fixed when the table is made; choose it so that a bucket fits a few tasks.
+    ``buckets`` is fixed when the table is made; choose it so that a bucket fits a few tasks. Rows
+    fall into buckets by ``by``, the whole key unless a part of it is named.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: list[str], schema: T.StructType | str, buckets: int = 64):
+    def __init__(
+        self, spark: SparkSession, folder: str, key: list[str], schema: T.StructType | str, buckets: int = 64,
+        by: list[str] | None = None,
+    ):
         self.spark, self.folder, self.key, self.schema, self.buckets = spark, folder.rstrip("/"), list(key), schema, buckets
+        self.by = list(by or key)
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
+
+    def among(self, keys: DataFrame) -> DataFrame:
+        """The rows whose ``by`` columns stand in ``keys``; reads only the buckets that may hold them."""
+        keys = reliable(keys.select(*self.by).distinct())
+        return self._current(self._touched(keys), self.version()).join(keys, self.by, "left_semi")
 
     def _filesystem(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -97,6 +107,15 @@ class KeyedTable:
         if touched:
             self._replace(upsert(self._current(touched, last), incoming, self.key, order), touched, last)
 
+    def put(self, incoming: DataFrame) -> None:
+        """Incoming rows take the place of those with their keys; of equal keys the greatest row counts."""
+        others = [c for c in incoming.columns if c not in self.key]
+        incoming, last = reliable(latest(incoming, self.key, others)), self.version()
+        touched = self._touched(incoming)
+        if touched:
+            rest = self._current(touched, last).join(incoming.select(*self.key), self.key, "left_anti")
+            self._replace(rest.unionByName(incoming), touched, last)
+
     def merge(self, incoming: DataFrame, stamp: str) -> DataFrame:
         """Incoming rows win only when their time is later; returns the counts of what happened."""
         (key,) = self.key
