@@ -13,7 +13,9 @@ NAMES = [
     "reconcile_duplicates", "search_rescue", "ml_tfidf", "build_products", "upsert_last_wins",
     "brand_map", "registry_match", "search_fulltext", "search_filters", "search_like",
     "zero_result_terms", "sink_snapshot", "sink_review_csv", "ml_split", "coverage_band",
-    "corrections_load", "evidence_combine",
+    "corrections_load", "evidence_combine", "search_names", "search_after_delta",
+    "vocabulary_after_delta", "upsert_kept_table", "merge_kept_table", "ingredients_by_dictionary",
+    "page_of_listing", "reconcile_incremental", "search_ranked", "search_facets",
 ]
 
 
