@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions.display import percentage, round_ratio
+from labelproof.operators.skew import first_rows
 from labelproof.operators.verdict import has_tag
 from labelproof.rules import rows, words
 from labelproof.rules.labels import (
@@ -98,15 +99,6 @@ def load_gap(reported: Column, seen: Column) -> Column:
 
 def lowest_price(rows_: DataFrame, key: str, price: str, tie: list[str]) -> DataFrame:
     """One row per code: the lowest price, missing prices last."""
-    order = F.struct(
-        F.col(price).isNull().alias("_missing"), F.col(price), *[F.col(t) for t in tie]
-    )
     others = [c for c in rows_.columns if c not in (key, price, *tie)]
-    best = rows_.groupBy(key).agg(
-        F.min(F.struct(order.alias("_o"), *[F.col(c) for c in others])).alias("_b")
-    )
-    return best.select(
-        key,
-        *[F.col(f"_b._o.{c}").alias(c) for c in (price, *tie)],
-        *[F.col(f"_b.{c}").alias(c) for c in others],
-    )
+    order = [F.col(price).isNull(), *[F.asc_nulls_first(c) for c in (price, *tie, *others)]]
+    return first_rows(rows_, key, order).select(key, price, *tie, *others)

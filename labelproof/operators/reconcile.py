@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import text as T
 from labelproof.operators.ingredients import severity
-from labelproof.operators.skew import HOT_KEYS, join_key_stats
+from labelproof.operators.skew import HOT_KEYS, first_rows, join_key_stats
 from labelproof.rules.labels import (
     APTO, REVISAR, SEVERITY, SRC_DUPLICATE, SRC_HUMAN, SRC_NONE,
 )
@@ -121,9 +121,9 @@ def effective_corrections(edits: DataFrame, current: DataFrame) -> DataFrame:
     ``edits`` has ``ean, estado, revisor, orden``; choosing the current verdict
     again takes the correction back.
     """
-    last = edits.groupBy("ean").agg(
-        F.max(F.struct("orden", "estado", "revisor")).alias("_last")
-    )
+    order = [F.desc_nulls_last(c) for c in ("orden", "estado", "revisor")]
+    last = first_rows(edits.select("ean", F.struct("orden", "estado", "revisor").alias("_last"), "orden", "estado", "revisor"), "ean", order)
+    last = last.select("ean", "_last")
     now = current.select("ean", F.col("estado").alias("estado_actual"))
     return (
         last.join(now, "ean")

@@ -48,6 +48,16 @@ def join_key_stats(
     ).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
+def first_rows(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each key in an order.
+
+    The filter on the row number lets every input task cut a key to one row
+    before the shuffle, whatever the types of the columns.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 

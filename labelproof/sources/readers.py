@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from labelproof.functions import text as T
+from labelproof.operators.skew import first_rows
 from labelproof.rules import relevance as R
 from labelproof.rules import rows, words
 from labelproof.rules.labels import REVIEW_COLUMNS, STATES
@@ -133,12 +134,11 @@ def dump_products(dump: DataFrame, country: str, limit: int | None = None) -> Da
 def first_seen(hits: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """First hit per key over all passes; one without a name uses up its key.
 
-    Only the earliest hit of a key is kept while counting, so a key with many
+    Every input task keeps the earliest hit of a key only, so a key with many
     hits needs no group in memory.
     """
     others = [c for c in hits.columns if c not in (key, *order)]
-    best = hits.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("_first"))
-    kept = best.select(key, *[F.col(f"_first.{c}").alias(c) for c in (*order, *others)])
+    kept = first_rows(hits, key, [F.asc_nulls_first(c) for c in (*order, *others)]).select(key, *order, *others)
     return kept.filter(T.blank_to_null(F.col(name)).isNotNull())
 
 
