@@ -47,7 +47,7 @@ WIDTH = 5
 COORDINATES = BANDS * WIDTH
 BROADCAST_IDS = 2_000_000
 # An edit that so many members hold among their rarest isn't joined; they get a hub of their own.
-HOT = 64
+HOT = 1024
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 SEEDS = (np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -201,6 +201,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(connected: DataFrame, edges: DataFrame) -> DataFrame:
+    """`connected` (node, component) after more edges: only what they join is walked."""
+    named = edges.select("a", "b").join(connected.toDF("a", "low_a"), "a", "left").join(connected.toDF("b", "low_b"), "b", "left")
+    named = named.select(F.coalesce("low_a", "a").alias("a"), F.coalesce("low_b", "b").alias("b")).filter("a != b")
+    named = written(named.distinct(), "joins")
+    if named.isEmpty():
+        return connected
+    merged = components(named)
+    fresh = merged.select("node", F.col("node").alias("component")).join(connected, "node", "left_anti")
+    every = connected.union(fresh).join(merged.toDF("component", "root"), "component", "left")
+    return written(every.select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+
 def _close(a: str, b: str, percent: int):
     """The lengths allow a link."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -265,7 +278,7 @@ def _candidates(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
 
 
 def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified edges (a, b) that connect the representatives as all their links do."""
+    """node, component of the representatives that have a link; the edges walked are verified ones."""
     keyed = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = written(keyed.join(shared, "band"), "met")
@@ -282,8 +295,7 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     stars = best.select(F.col("rep").alias("a"), (-F.col("hub.low")).alias("b"), "n_shingles", F.col("hub.size").alias("size"))
     stars = stars.filter(F.col("a") != F.col("b")).filter(_close("n_shingles", "size", percent))
     tested = written(verified(stars, docs, size, percent), "stars")
-    edges = tested.filter("linked").select("a", "b")
-    connected = components(edges)
+    connected = components(tested.filter("linked"))
 
     # Groups of representatives that are still apart. Sets of a link have sizes of one step of the
     # scale or of two neighbouring ones, so a band falls into groups of two steps each.
@@ -295,21 +307,22 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     while True:
         groups = written(_apart(groups.join(known, "rep").join(weight, "rep"), connected), "apart")
         if groups.isEmpty():
-            return edges
+            return connected
         # Every member is compared with the hub of its group; a hub has no edits and leaves the group.
         top = groups.groupBy("group").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"))).alias("hub"))
         under = groups.join(top.select("group", (-F.col("hub.low")).alias("hub")), "group").filter(F.col("rep") != F.col("hub"))
         under = written(under.select("rep", "hub", "n_shingles").distinct(), "under")
         told = written(verified(under.select(F.col("rep").alias("a"), F.col("hub").alias("b")), docs, size, percent, edits=True), "told")
-        edges = written(edges.union(told.filter("linked").select("a", "b")), "links")
-        connected = components(edges)
+        connected = joined(connected, told.filter("linked"))
         edited = told.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "edits")
         members = _apart(under.withColumnRenamed("hub", "group"), connected).withColumnRenamed("group", "hub")
         members = written(members.join(edited, ["rep", "hub"]), "members")
+        if members.isEmpty():
+            return connected
         pairs, groups = _candidates(members, percent)
         pairs = written(pairs, "pairs")
-        edges = written(edges.union(verified(pairs, docs, size, percent).filter("linked").select("a", "b")), "links")
-        connected = components(edges)
+        if not pairs.isEmpty():
+            connected = joined(connected, written(verified(pairs, docs, size, percent), "links").filter("linked"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -323,9 +336,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["print", "doc_id"]).select(
         F.col("doc_id").alias("rep"), "n_shingles", "bands"
     )
-    edges = links(reps, docs, size, percent)
     # Two classes of one repeated id are one node already: the id is the node.
-    connected = components(edges).withColumnRenamed("node", "rep")
+    connected = links(reps, docs, size, percent).withColumnRenamed("node", "rep")
     named = classes.join(connected, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     return (
         drawn.select("doc_id", "n_shingles", "print")
