@@ -149,3 +149,24 @@ def test_registry_match_reads_few_files(spark):
 
     plan = entry_points.queries()["registry_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 6
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_hits_never_broadcast_the_products(spark):
+    """The written products look small by their compressed size at any number of rows."""
+    from labelproof.operators import search as S
+
+    rows = [(f"{i:013d}", f"leche {i}", "m", None, "apto", None, "ml", None) for i in range(50)]
+    products = spark.createDataFrame(
+        rows,
+        "ean string, nombre string, marca string, categoria string, estado string, cadenas array<string>,"
+        " fuente_decision string, ingredients_text string",
+    )
+    asked = spark.createDataFrame([("a", "leche")], "q_id string, q_texto string")
+    hits = S.text_hits(S.search_table(products), asked)
+    joins = [line for line in _plan(hits).split("\n") if "Join" in line and "ean#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert hits.count() == 50
