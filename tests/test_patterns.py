@@ -61,3 +61,46 @@ def test_the_filter_for_empty_lists_reads_the_list(spark):
     tests = [line for line in plan.split("\n") if line.strip(" :+-").startswith("Filter")]
     assert all("regexp" not in line and "zip_with" not in line for line in tests), tests
     assert df.count() == 2
+
+
+def test_an_alternation_clears_no_groups():
+    """Every group that captures is cleared for each text that is tested."""
+    for patterns in (I.ANIMAL_PATTERNS, I.AMBIGUOUS_PATTERNS, I.PLANT_PATTERNS):
+        assert re.compile(P.any_of(patterns)).groups == 0
+
+
+def test_tokens_of_loose_texts(spark):
+    """White space that a phrase or a share leaves behind, parts of digits, codes in their spaced form."""
+    texts = {
+        "a  b y trazas de mani. Z 5 %  sal": ["a b", "z sal"],
+        "leche  10,5% de  vaca, 12, ١٢, 7up, e-330 , ins.3301x": ["leche 10", "de vaca", "7up", "e 330", "ins", "3301x"],
+        "sal puede contener mani;  - pan , ñ, zz": ["sal", "pan", "zz"],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.x for r in rows.select("t", I.ingredient_tokens(T.norm_ingredients(F.col("t"))).alias("x")).collect()}
+    for t, wanted in texts.items():
+        assert got[t] == wanted, t
+
+
+def test_only_derived_products_are_searched_for_origins(spark):
+    """Kinds of tokens with each kind of hit, and the places where an origin is tested."""
+    cases = {"leche vegana": "known", "sabor leche": "ambiguous", "leche": "animal", "gelatina artificial": "animal",
+             "sal artificial": "known", "xyz artificial": "unknown", "lecitina": "ambiguous", "colorante": "skip"}
+    rows = spark.createDataFrame([(list(cases),)], "tokens array<string>")
+    ranked = I.rank_tokens(I.mark_tokens(rows, "tokens", "m"), "m", "r")
+    judged = I.judge_tokens(ranked, "r", "j")
+    assert {m.token: m.kind for m in judged.first().j} == cases
+    plan = judged.select("j")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("isnull(") < plan.index("identic")
+
+
+def test_shares_take_wide_numbers_for_ties_only(spark):
+    from labelproof.functions.display import round_ratio
+
+    pairs = [(n, d) for d in range(0, 41) for n in range(0, d + 1)] + [(28700, 57), (125, 1000), (375, 1000), (9 * 10**9, 7 * 10**8)]
+    rows = spark.createDataFrame(pairs, "n bigint, d bigint")
+    got = {(r.n, r.d): r.x for r in rows.select("n", "d", round_ratio(F.col("n"), F.col("d"), 2).alias("x")).collect()}
+    for (n, d), x in got.items():
+        assert x == (round(n / d, 2) if d else None), (n, d, x)
+    plan = rows.select(round_ratio(F.col("n"), F.col("d"), 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(38,0)" not in plan
