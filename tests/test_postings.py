@@ -90,3 +90,14 @@ def test_words_are_folded_runs_of_letters_and_digits(spark):
 def test_empty_index(spark):
     ix = index(spark, [])
     assert found(spark, ix, "leche") == [] and ix.vocabulary().count() == 0
+
+
+def test_hits_meet_by_document_before_they_meet_queries(spark):
+    """Queries with common words repeat no hit in a shuffle."""
+    docs = spark.createDataFrame([(str(i), f"leche de coco {i % 7} sal") for i in range(3000)], "doc string, texto string")
+    asked = spark.createDataFrame([(f"q{i}", "leche co sal") for i in range(5)], "q_id string, q_texto string")
+    ix = Index(spark, f"{shared_folder(spark)}/test-{uuid.uuid4().hex}", ["texto"]).build(docs)
+    hits = ix.search(asked, 20)
+    assert len(hits.collect()) == 5 * 20
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(q_id#\d+, doc#", plan) and re.search(r"hashpartitioning\(doc#", plan)
